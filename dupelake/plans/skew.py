@@ -115,3 +115,35 @@ def rank_all(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     inside = Window.partitionBy("__pid").orderBy(*order)
     return (spread.withColumn("__rn", F.row_number().over(inside)).join(F.broadcast(offsets), "__pid")
             .withColumn(name, F.col("__rn") + F.col("__off")).select(*df.columns, name))
+
+
+def hot_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame | None:
+    """Keys of groups above the hot limit, or None when there are none."""
+    keys = _cols(keys)
+    limit = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
+    hot = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
+    return hot if hot.limit(1).count() else None
+
+
+class GroupPasses:
+    """Repeated group aggregates on one table: windows for ordinary groups, aggregate-and-join for hot ones."""
+
+    def __init__(self, keys: str | Sequence[str], hot: bool):
+        self.keys, self.hot = _cols(keys), hot
+
+    def add(self, df: DataFrame, **aggs: Column) -> DataFrame:
+        if self.hot:
+            return cut_lineage(attach_group(df, self.keys, **aggs))
+        w = Window.partitionBy(*self.keys)
+        return df.select("*", *[c.over(w).alias(n) for n, c in aggs.items()])
+
+
+def by_heat(df: DataFrame, keys: str | Sequence[str], step) -> DataFrame:
+    """Run ``step(df, passes)`` on ordinary groups and, separately, on hot groups."""
+    keys = _cols(keys)
+    hot = hot_keys(df, keys)
+    if hot is None:
+        return step(df, GroupPasses(keys, False))
+    hot = cut_lineage(hot)
+    cold = step(df.join(hot, keys, "left_anti"), GroupPasses(keys, False))
+    return cold.unionByName(step(cut_lineage(df.join(hot, keys, "left_semi")), GroupPasses(keys, True)))
