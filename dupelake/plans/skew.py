@@ -103,18 +103,24 @@ def rank_within(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column
     return running_total(df, keys, order, F.lit(1).cast("bigint"), name)
 
 
-def rank_all(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """1-based row number over the whole table without a single-partition window."""
+def running_all(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Inclusive running sum over the whole table in ``order`` without a single-partition window."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    spread = cut_lineage(df.repartitionByRange(parts, *order).withColumn("__pid", F.spark_partition_id()))
-    totals = spread.groupBy("__pid").agg(F.count("*").alias("__t"))
-    # one row per partition, so this window is bounded by the partition count
+    spread = cut_lineage(df.withColumn("__v", value).repartitionByRange(parts, *order)
+                         .withColumn("__pid", F.spark_partition_id()))
+    totals = spread.groupBy("__pid").agg(F.sum("__v").alias("__t"))
+    # one row per partition, so this window and the broadcast are bounded by the partition count
     offsets = totals.select("__pid", F.coalesce(F.sum("__t").over(
         Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy("__pid").orderBy(*order)
-    return (spread.withColumn("__rn", F.row_number().over(inside)).join(F.broadcast(offsets), "__pid")
-            .withColumn(name, F.col("__rn") + F.col("__off")).select(*df.columns, name))
+    inside = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return (spread.withColumn("__run", F.sum("__v").over(inside)).join(F.broadcast(offsets), "__pid")
+            .withColumn(name, F.col("__run") + F.col("__off")).select(*df.columns, name))
+
+
+def rank_all(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """1-based row number over the whole table; ``order`` must be total."""
+    return running_all(df, order, F.lit(1).cast("bigint"), name)
 
 
 def hot_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame | None:

@@ -1,0 +1 @@
+"""Incremental forms on Structured Streaming."""
