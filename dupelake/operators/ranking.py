@@ -235,13 +235,17 @@ def weighted_scores(items: DataFrame, group: str = "group_id", item: str = "path
     points = []
     for k, (expr, weight, positive, rel, absolute) in enumerate(WEIGHTS):
         v = F.expr(expr).cast("double")
-        low = v - F.greatest(F.lit(absolute), F.abs(v) * rel)
+        tie = F.greatest(F.lit(absolute), F.abs(v) * rel)
+        low = v - tie
+        # the subtraction may have rounded down; then a value equal to ``low`` is still beyond the tie
+        closed = (v - low) > tie
         valid = (v > 0) if positive else F.lit(True)
         row = lambda d, x, kind, cnt: F.struct(
-            F.lit(2 * k + d).alias("axis"), x.alias("x"), F.lit(kind).alias("kind"), F.lit(cnt).cast("bigint").alias("cnt"),
+            F.lit(2 * k + d).alias("axis"), x.alias("x"), kind.alias("kind"), F.lit(cnt).cast("bigint").alias("cnt"),
             F.lit(weight).alias("w"), valid.alias("valid"))
         # axis 2k counts values below the query, axis 2k+1 counts lowered values up to the query
-        points += [row(0, v, 1, 1), row(0, low, 0, 0), row(1, low, 0, 1), row(1, v, 1, 0)]
+        points += [row(0, v, F.lit(1), 1), row(0, low, F.when(closed, 2).otherwise(0), 0),
+                   row(1, low, F.when(closed, 2).otherwise(0), 1), row(1, v, F.lit(1), 0)]
     long = (df.select(F.col(group), F.col(item), F.explode(F.array(*points)).alias("p"))
             .select(group, item, "p.*").where("valid").drop("valid"))
     run = running_total(long, [group, "axis"], [F.col("x"), F.col("kind"), F.col(item)], F.col("cnt"), "below")

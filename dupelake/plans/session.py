@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", name: str = "dupelake", partitions: in
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "12g")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in conf.items():
