@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..config import (BRIGHT_LEVEL, DARK_LEVEL, DARK_SHARE, DIFF_DIVISOR, FRAME_PIXELS, FRAME_SIDE, MatchFlag,
                       ScanConfig)
@@ -41,7 +41,7 @@ def stack_frames(values, width: int = FRAME_PIXELS) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, width)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def phash(gray: pd.Series) -> pd.Series:
     """64-bit perceptual hash of a 32x32 frame; null for missing or odd-sized frames."""
     ok = gray.map(lambda b: b is not None and len(b) == FRAME_PIXELS).to_numpy(dtype=bool)
@@ -51,7 +51,7 @@ def phash(gray: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def flip(gray: pd.Series) -> pd.Series:
     """Mirror each row of a square frame."""
     def one(b):
@@ -60,14 +60,14 @@ def flip(gray: pd.Series) -> pd.Series:
     return gray.map(one)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_dark(gray: pd.Series) -> pd.Series:
     """At least 80 % of the pixels are near black."""
     return gray.map(lambda b: None if b is None or not len(b) else
                     bool((np.frombuffer(b, np.uint8) <= DARK_LEVEL).sum() >= DARK_SHARE * len(b)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_dark_rgb(rgb: pd.Series) -> pd.Series:
     """RGB form: a pixel counts as dark only when all three channels are."""
     def one(b):
@@ -78,7 +78,7 @@ def is_dark_rgb(rgb: pd.Series) -> pd.Series:
     return rgb.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def frame_detail(gray: pd.Series) -> pd.Series:
     """Mean absolute difference to the right and lower neighbour."""
     def one(b):

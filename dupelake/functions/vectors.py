@@ -31,7 +31,7 @@ def sign_words(vec, dim: int) -> Column:
     def word(w: int) -> Column:
         part = F.slice(_col(vec), w * 64 + 1, 64)
         bits = F.transform(part, lambda x, i: F.when(
-            x < 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+            x < 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
         return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x))
     return F.array(*[word(w) for w in range((dim + 63) // 64)])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import DENSE_MAX_SLOTS, EntryFlag, ScanConfig
 from ..functions import kernels as K
@@ -169,7 +169,7 @@ def fingerprint_status(media: DataFrame, audio: DataFrame) -> DataFrame:
             .withColumn("words", F.when(silent, F.lit(None)).otherwise(F.col("words"))).drop("__done"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _content_key(size: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
     out = []
     for n, h, t in zip(size, head, tail):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import MatchFlag
 from ..functions.kernels import overlay_like
@@ -36,7 +36,7 @@ def wasteful_encode(c: str, p: str):
     return F.coalesce(upscale | waste, F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def overlay(candidate: pd.Series, peer: pd.Series) -> pd.Series:
     """Persistent one-corner overlay on the candidate that the peer lacks."""
     decode = lambda fs: [np.frombuffer(f, np.uint8) for f in fs]

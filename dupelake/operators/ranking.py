@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import MatchFlag
 from ..functions.media import bits_per_pixel, has_flag, hdr_rank
@@ -223,15 +223,42 @@ WEIGHTS = (
 )
 
 
-def weighted_scores(items: DataFrame, group: str = "group_id", item: str = "path") -> DataFrame:
-    """Sum of won minus lost weighted comparisons against every other group member: (group, item, score).
+#: Groups up to this size compare inside one row-local array; larger ones count over sorted values.
+_ARRAY_GROUP = 64
 
-    Members beaten beyond the tie are those below ``v - tie``; members lost to are those whose own ``v - tie`` lies
-    above, so both counts come from running totals over sorted values instead of pairs.
-    """
+
+def weighted_scores(items: DataFrame, group: str = "group_id", item: str = "path") -> DataFrame:
+    """Sum of won minus lost weighted comparisons against every other group member: (group, item, score)."""
     df = _with_ratios(items)
     if "hdr_rank" not in df.columns:
         df = df.withColumn("hdr_rank", hdr_rank("hdr"))
+    wide = df.groupBy(group).count().where(F.col("count") > _ARRAY_GROUP).select(group)
+    if not wide.limit(1).count():
+        return _scores_in_arrays(df, group, item)
+    return _scores_in_arrays(df.join(wide, group, "left_anti"), group, item).unionByName(
+        _scores_by_sorting(df.join(wide, group, "left_semi"), group, item))
+
+
+def _scores_in_arrays(df: DataFrame, group: str, item: str) -> DataFrame:
+    vals = F.array(*[F.expr(e).cast("double") for e, *_ in WEIGHTS])
+    w = Window.partitionBy(group)
+    j = df.select(group, item, vals.alias("v")).withColumn("all", F.collect_list("v").over(w))
+
+    def against(o: Column) -> Column:
+        total = F.lit(0.0)
+        for k, (_, weight, positive, rel, absolute) in enumerate(WEIGHTS):
+            x, y = F.col("v")[k], o[k]
+            tie = F.abs(x - y) <= F.greatest(F.lit(absolute), F.greatest(F.abs(x), F.abs(y)) * rel)
+            skip = (tie | (x <= 0) | (y <= 0)) if positive else tie
+            total = total + F.when(skip, 0.0).when(x > y, weight).otherwise(-weight)
+        return total
+
+    return j.select(group, item, F.aggregate("all", F.lit(0.0), lambda s, o: s + against(o)).alias("score"))
+
+
+def _scores_by_sorting(df: DataFrame, group: str, item: str) -> DataFrame:
+    """Members beaten beyond the tie are those below ``v - tie``; members lost to are those whose own ``v - tie``
+    lies above, so both counts come from running totals over sorted values instead of pairs."""
     points = []
     for k, (expr, weight, positive, rel, absolute) in enumerate(WEIGHTS):
         v = F.expr(expr).cast("double")
