@@ -126,7 +126,7 @@ def csv_escape(value) -> Column:
 def normalize_message(message) -> Column:
     """Collapse key of a log line: quoted spans become ``*``, digit runs ``#``; an open quote swallows the rest."""
     closed = F.regexp_replace(_col(message), r"""(['"])[\s\S]*?\1""", "$1*$1")
-    dangling = F.regexp_replace(closed, r"""^((?:[^'"]|'\*'|"\*")*)(['"])[\s\S]*$""", "$1$2")
+    dangling = F.regexp_replace(closed, r"""^((?:[^'"]|'\*'|"\*")*+)(['"])[\s\S]*$""", "$1$2")
     return F.regexp_replace(dangling, r"\p{Nd}+", "#")
 
 

@@ -83,7 +83,7 @@ def ancestors(folder) -> Column:
     """The folder itself and every folder above it, as an array of normalised paths."""
     p = normalize_path(folder)
     n = F.size(F.split(p, "/"))
-    prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring_index(p, "/", i))
+    prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring_index", p, F.lit("/"), i))
     return F.filter(prefixes, lambda x: x != "")
 
 

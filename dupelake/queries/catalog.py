@@ -153,12 +153,10 @@ def not_a_match_groups(spark, sf):
     return L.hidden_groups(it, sets)
 
 
-@query(f"WITH s AS {_SETS} SELECT set_id, path FROM s WHERE set_id NOT IN (SELECT set_id FROM s WHERE path LIKE '%_9%.mp4')")
+@query(f"""SELECT CAST(group_id AS BIGINT) AS set_id, path FROM {I} WHERE group_id NOT IN (SELECT group_id FROM {I} WHERE size % 7 = 0)""")
 def pruned_not_a_match_sets(spark, sf):
     it = items(spark, sf)
-    k = F.col("group_id").cast("bigint")
-    sets = it.where((k % 3 == 0) & (F.col("size") % 10 < 9)).select((k % 97).alias("set_id"), "path")
-    return L.prune_not_a_match(sets, it.where("path not like '%_9%.mp4'").select("path"))
+    return L.prune_not_a_match(it.select(F.col("group_id").cast("bigint").alias("set_id"), "path"), it.where("size % 7 <> 0").select("path"))
 
 
 @query(f"""WITH a AS (SELECT l_partkey % 500 AS k, CASE WHEN l_linestatus = 'O' THEN 'audio' ELSE 'sampling' END AS phase, CASE WHEN l_quantity > 5 THEN 'end' ELSE 'begin' END AS ev FROM lineitem WHERE l_quantity < 7),
