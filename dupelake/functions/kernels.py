@@ -251,38 +251,60 @@ def sliding_best(shorter: np.ndarray, longer: np.ndarray, min_sim: float) -> tup
     return float(best), at
 
 
-def overlay_like(candidate: list[np.ndarray], peer: list[np.ndarray]) -> bool:
-    """Extra edges that persist over the frames in one corner only (logo or station mark)."""
-    count = min(len(candidate), len(peer))
-    if count < 5:
-        return False
-    n = math.isqrt(candidate[0].size)
-    if n < 16 or any(f.size != n * n for f in candidate[:count] + peer[:count]):
-        return False
-
-    def gradient(frames):
-        x = np.stack(frames[:count]).reshape(count, n, n).astype(np.int32)
-        g = np.zeros_like(x)
-        dx, dy = np.abs(np.diff(x, axis=2)), np.abs(np.diff(x, axis=1))
-        g[:, :, 1:] += dx
-        g[:, :, :-1] += dx
-        g[:, 1:, :] += dy
-        g[:, :-1, :] += dy
-        return g
-
-    gain = gradient(candidate) - gradient(peer)
+def _gradient(x: np.ndarray) -> np.ndarray:
+    """(..., n, n) frames -> summed absolute differences to the existing neighbours of each pixel."""
+    x = x.astype(np.int16)
+    g = np.zeros_like(x)
+    dx, dy = np.abs(np.diff(x, axis=-1)), np.abs(np.diff(x, axis=-2))
+    g[..., :, 1:] += dx
+    g[..., :, :-1] += dx
+    g[..., 1:, :] += dy
+    g[..., :-1, :] += dy
+    return g
+
+
+def _one_corner(gain: np.ndarray) -> np.ndarray:
+    """(pairs, frames, n, n) gradient gains -> does the extra energy persist in one corner only?"""
+    count, n = gain.shape[1], gain.shape[-1]
     won = gain >= 32
-    wins = won.sum(axis=0)
-    mean_gain = np.where(won, gain, 0).sum(axis=0) / np.maximum(wins, 1)
+    wins = won.sum(axis=1)
+    mean_gain = np.where(won, gain, 0).sum(axis=1) / np.maximum(wins, 1)
     steady = wins >= math.ceil(count * 0.70)
     cw, ch = max(4, n // 3), max(4, n // 4)
-    corners = []
+    cells, mean = [], []
     for y0 in (0, n - ch):
         for x0 in (0, n - cw):
-            box = (slice(y0, y0 + ch), slice(x0, x0 + cw))
-            cells = int(steady[box].sum())
-            corners.append((cells, float(mean_gain[box][steady[box]].sum()) / cells if cells else 0.0))
-    corners.sort(key=lambda c: -c[0])
-    if corners[0][0] < max(5, cw * ch // 12) or corners[0][1] < 45:
-        return False
-    return corners[1][0] <= max(3, int(math.floor(corners[0][0] * 0.45)))
+            s = steady[:, y0:y0 + ch, x0:x0 + cw]
+            k = s.sum(axis=(1, 2))
+            total = np.where(s, mean_gain[:, y0:y0 + ch, x0:x0 + cw], 0).sum(axis=(1, 2))
+            cells.append(k)
+            mean.append(total / np.maximum(k, 1))
+    cells, mean = np.stack(cells, 1), np.stack(mean, 1)
+    order = np.argsort(-cells, axis=1, kind="stable")
+    rows = np.arange(len(cells))
+    first, second = cells[rows, order[:, 0]], cells[rows, order[:, 1]]
+    return ((first >= max(5, cw * ch // 12)) & (mean[rows, order[:, 0]] >= 45)
+            & (second <= np.maximum(3, np.floor(first * 0.45))))
+
+
+def overlay_codes(a_frames: list, b_frames: list) -> np.ndarray:
+    """Per pair of frame lists: bit 1 when A carries a one-corner overlay B lacks, bit 2 for the reverse.
+
+    Needs five common square frames of at least 16x16; pairs of equal shape are evaluated together.
+    """
+    out = np.zeros(len(a_frames), np.int32)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(a_frames, b_frames)):
+        count = min(len(a), len(b))
+        sizes = {len(f) for f in (*a[:count], *b[:count])}
+        side = math.isqrt(next(iter(sizes))) if len(sizes) == 1 else 0
+        if count >= 5 and side >= 16 and side * side in sizes:
+            shapes.setdefault((count, side), []).append(i)
+    for (count, n), idx in shapes.items():
+        for s in range(0, len(idx), 256):
+            part = idx[s:s + 256]
+            stack = lambda fs: _gradient(np.frombuffer(b"".join(b"".join(fs[i][:count]) for i in part), np.uint8).reshape(
+                len(part), count, n, n))
+            gain = stack(a_frames) - stack(b_frames)
+            out[part] = _one_corner(gain).astype(np.int32) + 2 * _one_corner(-gain).astype(np.int32)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import paths as P
 from ..plans.skew import attach_group, descending, first_per_group, rank_all
 from .grouping import connected_components
-from .ranking import decisive_winner, recommend_best, review_only
+from .ranking import decisive_winner, judge, recommend_best
 
 WHOLE_SOURCE_COVERAGE = 90.0
 PROMOTED_MIN_MATCH = 50.0
@@ -125,13 +125,14 @@ def folder_pair_matches(items: DataFrame, promoted: DataFrame | None = None, gro
     keys = ["folder_a", "folder_b", group]
     side = lambda c, n: pairs.join(member.withColumnRenamed("root", c), [group, c]).select(*keys, "path", F.lit(n).alias("side"))
     rows = side("folder_a", 0).unionByName(side("folder_b", 1))
-    counts = rows.groupBy(*keys).agg(F.count_if(F.col("side") == 0).alias("files_a"),
-                                     F.count_if(F.col("side") == 1).alias("files_b"))
-    full = rows.join(items, [group, "path"])
-    review = review_only(full, keys).select(*keys, "review_only")
-    winner = decisive_winner(full, keys)
-    return (counts.join(review, keys).join(winner, keys, "left")
-            .withColumn("auto_review", F.col("review_only") | F.col("winner").isNull()))
+    need = ["size", "is_image", "flags", "duration_s", "frame_size_int", "kbps", "fps", "w", "h", "hdr", "format", "audio_format",
+            "audio_channel", "audio_kbps", "audio_sample_rate", *[c for c in ("penalty",) if c in items.columns]]
+    full = rows.join(items.select(group, "path", *need), [group, "path"])
+    judged = judge(full, keys)
+    return judged.groupBy(*keys).agg(
+        F.count_if(F.col("side") == 0).alias("files_a"), F.count_if(F.col("side") == 1).alias("files_b"),
+        F.bool_or("review_only").alias("review_only"), F.max("winner").alias("winner")).withColumn(
+        "auto_review", F.col("review_only") | F.col("winner").isNull())
 
 
 def folder_pairs(matches: DataFrame, items: DataFrame, stats: DataFrame | None = None,

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import MatchFlag
-from ..functions.kernels import overlay_like
+from ..functions.kernels import overlay_codes
 from ..functions.media import has_flag
 from .features import detail_scores
 from .ranking import top_per_group
@@ -36,11 +35,10 @@ def wasteful_encode(c: str, p: str):
     return F.coalesce(upscale | waste, F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def overlay(candidate: pd.Series, peer: pd.Series) -> pd.Series:
-    """Persistent one-corner overlay on the candidate that the peer lacks."""
-    decode = lambda fs: [np.frombuffer(f, np.uint8) for f in fs]
-    return pd.Series([overlay_like(decode(a), decode(b)) for a, b in zip(candidate, peer)])
+@F.pandas_udf(T.IntegerType())
+def overlay(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 when only the first carries a persistent one-corner overlay, 2 when only the second does, 0 or 3 otherwise."""
+    return pd.Series(overlay_codes(list(a), list(b)))
 
 
 def findings(items: DataFrame, frames: DataFrame, group: str = "group_id") -> DataFrame:
@@ -56,11 +54,16 @@ def findings(items: DataFrame, frames: DataFrame, group: str = "group_id") -> Da
          .select(group, "path", "w", "h", "size", F.col("kbps").cast("double").alias("kbps"), "detail", "shots"))
     valid = s.groupBy(group).agg(F.count("*").alias("valid")).where("valid > 1")
     a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.path") != F.col("b.path")))
-    seen = pairs.select(
-        F.col(f"a.{group}").alias(group), F.col("a.path").alias("path"), wasteful_encode("a", "b").alias("t"),
-        (overlay("a.shots", "b.shots") & ~overlay("b.shots", "a.shots")).alias("m"))
-    votes = seen.groupBy(group, "path").agg(F.count_if("t").alias("tv"), F.count_if("m").alias("mv")).join(valid, group)
+    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.path") < F.col("b.path")))
+    seen = pairs.select(F.col(f"a.{group}").alias(group), F.col("a.path").alias("pa"), F.col("b.path").alias("pb"),
+                        wasteful_encode("a", "b").alias("ta"), wasteful_encode("b", "a").alias("tb"),
+                        overlay("a.shots", "b.shots").alias("o"))
+    # only a one-sided overlay names a culprit
+    ends = F.explode(F.array(
+        F.struct(F.col("pa").alias("path"), F.col("ta").alias("t"), (F.col("o") == 1).alias("m")),
+        F.struct(F.col("pb").alias("path"), F.col("tb").alias("t"), (F.col("o") == 2).alias("m"))))
+    votes = seen.select(group, ends.alias("e")).select(group, "e.*").groupBy(group, "path").agg(
+        F.count_if("t").alias("tv"), F.count_if("m").alias("mv")).join(valid, group)
     need = F.when(F.col("valid") <= 2, 1).otherwise(F.greatest(F.lit(2), F.floor(F.col("valid") / 2)))
     v = (votes.withColumn("need", need).withColumn("transcode", F.col("tv") >= F.col("need"))
          .withColumn("watermark", F.col("mv") >= F.col("need")).where("transcode or watermark"))

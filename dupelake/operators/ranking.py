@@ -125,93 +125,104 @@ def pick_keeper(items: DataFrame, criteria: Sequence[Criterion], order: Sequence
 
 # --- review-only test, dominance, recommendation ------------------------------------------------------------------
 
-def _kinds(column: str, blank: str) -> Column:
-    """More than one distinct trimmed, case-folded value (blank ones share a name), as an exact min/max test."""
+def _review_aggs() -> dict[str, Column]:
+    known_fps = F.when(F.col("fps") > 0, F.col("fps"))
+    any_flag = lambda f: F.bool_or(has_flag("flags", f))
+    return {
+        "r_n": F.count("*"), "r_partial": any_flag(MatchFlag.PARTIAL_CLIP), "r_ai": any_flag(MatchFlag.AI_MATCHED),
+        "r_flip": any_flag(MatchFlag.FLIPPED), "r_image": F.bool_or("is_image"), "r_video": F.bool_or(~F.col("is_image")),
+        "r_nodims": F.bool_or(F.col("frame_size_int") <= 0), "r_nodur": F.bool_or(F.col("duration_s") <= 0),
+        "r_dmax": F.max("duration_s"), "r_dmin": F.min("duration_s"),
+        "r_fmax": F.max(known_fps), "r_fmin": F.min(known_fps),
+        "r_noq": F.bool_or((F.col("frame_size_int") <= 0) | (F.col("kbps") <= 0)),
+        **{f"r_{how}_{c}": getattr(F, how)(_kind(c)) for c in _KINDS for how in ("min", "max")},
+    }
+
+
+_KINDS = {"format": "<unknown>", "hdr": "sdr", "audio_channel": "<none>", "audio_format": "<none>"}
+
+
+def _kind(column: str) -> Column:
+    """Trimmed, case-folded value; blank ones share a name."""
     v = F.lower(F.trim(F.coalesce(F.col(column), F.lit(""))))
-    v = F.when(v == "", F.lit(blank)).otherwise(v)
-    return F.min(v) != F.max(v)
+    return F.when(v == "", F.lit(_KINDS[column])).otherwise(v)
+
+
+def _review_verdict() -> tuple[Column, Column]:
+    c = F.col
+    mixed = {k: c(f"r_min_{k}") != c(f"r_max_{k}") for k in _KINDS}
+    spread = c("r_dmax") - c("r_dmin") > F.greatest(F.lit(1.0), c("r_dmax") * 0.01)
+    both = c("r_image") & c("r_video")
+    image_bad = c("r_nodims") | mixed["format"]
+    video_bad = (c("r_nodur") | spread | mixed["hdr"] | mixed["audio_channel"] | mixed["format"] | mixed["audio_format"]
+                 | F.coalesce(c("r_fmax") - c("r_fmin") > 0.5, F.lit(False)))
+    verdict = ((c("r_n") < 2) | c("r_partial") | c("r_ai") | c("r_flip") | both
+               | F.when(c("r_image"), image_bad).otherwise(video_bad))
+    reason = (F.when(c("r_partial"), "partial_clip").when(c("r_ai"), "ai_match").when(c("r_flip"), "flipped")
+              .when(both, "mixed_types").when(c("r_image") & c("r_nodims"), "unknown_dimensions")
+              .when(c("r_image") & mixed["format"], "image_formats").when(c("r_image"), "image_unproven")
+              .when(c("r_nodur"), "unknown_duration").when(spread, "duration_spread").when(mixed["format"], "codecs")
+              .when(mixed["hdr"], "hdr").when(mixed["audio_channel"], "channels").when(c("r_noq"), "missing_quality")
+              .otherwise("trade_off"))
+    return verdict, reason
 
 
 def review_only(items: DataFrame, keys: Sequence[str] = ("group_id",)) -> DataFrame:
-    """Per group: is the identity of the resource too uncertain for an automatic choice? (review_only, reason)"""
-    unsafe = has_flag("flags", MatchFlag.PARTIAL_CLIP | MatchFlag.AI_MATCHED | MatchFlag.FLIPPED)
-    known_fps = F.when(F.col("fps") > 0, F.col("fps"))
-    g = items.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.bool_or(has_flag("flags", MatchFlag.PARTIAL_CLIP)).alias("any_partial"),
-        F.bool_or(has_flag("flags", MatchFlag.AI_MATCHED)).alias("any_ai"),
-        F.bool_or(has_flag("flags", MatchFlag.FLIPPED)).alias("any_flip"),
-        F.bool_or(unsafe).alias("unsafe"),
-        F.bool_or("is_image").alias("any_image"), F.bool_or(~F.col("is_image")).alias("any_video"),
-        F.bool_or(F.col("frame_size_int") <= 0).alias("no_dims"), _kinds("format", "").alias("formats"),
-        F.bool_or(F.col("duration_s") <= 0).alias("no_duration"),
-        F.max("duration_s").alias("dmax"), F.min("duration_s").alias("dmin"),
-        _kinds("hdr", "sdr").alias("hdrs"), _kinds("audio_channel", "<none>").alias("channels"),
-        _kinds("format", "<unknown>").alias("vformats"), _kinds("audio_format", "<none>").alias("aformats"),
-        (F.max(known_fps) - F.min(known_fps) > 0.5).alias("fps_spread"),
-        F.bool_or((F.col("frame_size_int") <= 0) | (F.col("kbps") <= 0)).alias("no_quality"))
-    spread = F.col("dmax") - F.col("dmin") > F.greatest(F.lit(1.0), F.col("dmax") * 0.01)
-    image_bad = F.col("no_dims") | F.col("formats")
-    video_bad = (F.col("no_duration") | spread | F.col("hdrs") | F.col("channels") | F.col("vformats")
-                 | F.col("aformats") | F.coalesce(F.col("fps_spread"), F.lit(False)))
-    verdict = ((F.col("n") < 2) | F.col("unsafe") | (F.col("any_image") & F.col("any_video"))
-               | F.when(F.col("any_image"), image_bad).otherwise(video_bad))
-    reason = (F.when(F.col("any_partial"), "partial_clip").when(F.col("any_ai"), "ai_match")
-              .when(F.col("any_flip"), "flipped").when(F.col("any_image") & F.col("any_video"), "mixed_types")
-              .when(F.col("any_image") & F.col("no_dims"), "unknown_dimensions")
-              .when(F.col("any_image") & F.col("formats"), "image_formats").when(F.col("any_image"), "image_unproven")
-              .when(F.col("no_duration"), "unknown_duration").when(spread, "duration_spread")
-              .when(F.col("vformats"), "codecs").when(F.col("hdrs"), "hdr").when(F.col("channels"), "channels")
-              .when(F.col("no_quality"), "missing_quality").otherwise("trade_off"))
-    return g.select(*keys, verdict.alias("review_only"), reason.alias("uncertainty"), "any_image", "n")
+    """Per group: is the identity of the resource too uncertain for an automatic choice? (review_only, uncertainty)"""
+    verdict, reason = _review_verdict()
+    g = items.groupBy(*keys).agg(*[v.alias(k) for k, v in _review_aggs().items()])
+    return g.select(*keys, verdict.alias("review_only"), reason.alias("uncertainty"), F.col("r_n").alias("n"))
 
 
-def decisive_winner(items: DataFrame, keys: Sequence[str] = ("group_id",), item: str = "path") -> DataFrame:
-    """The one item that is nowhere worse and strictly better than every other: (keys, winner).
+def judge(items: DataFrame, keys: Sequence[str] = ("group_id",), item: str = "path") -> DataFrame:
+    """Add ``review_only``, ``uncertainty`` and ``winner`` (the decisive best, or null) to every row of its group.
 
-    Being nowhere worse than all others is a comparison with the group's best values, so candidates come from one
-    aggregate; two such candidates can never beat each other, so at most one survives, and only that one is compared
-    with the members. No pairs are formed.
+    The decisive best is nowhere worse and strictly better than every other item. Being nowhere worse than all others
+    is a comparison with the group's best values; two such items can never beat each other, so at most one remains,
+    and only that one is compared with the members. Three group passes, no pairs.
     """
     keys = list(keys)
-    df = _with_ratios(items)
-    for c, t in (("kbps", "double"), ("audio_kbps", "double"), ("fps", "double"), ("audio_sample_rate", "double")):
-        df = df.withColumn(c, F.coalesce(F.col(c).cast(t), F.lit(0.0)))
-    usable = review_only(df, keys).where(~F.col("review_only") & ~F.col("any_image")).select(*keys)
-    best = df.groupBy(*keys).agg(
-        F.min("penalty").alias("m_pen"), F.max("frame_size_int").alias("m_frame"), F.max("kbps").alias("m_rate"),
-        F.max("fps").alias("m_fps"), F.max("bits_per_pixel").alias("m_bpp"), F.max("audio_kbps").alias("m_arate"),
-        F.max("audio_sample_rate").alias("m_asr"),
-        F.bool_or((F.col("frame_size_int") <= 0) | (F.col("kbps") <= 0)).alias("bad"),
-        F.min("fps").alias("l_fps"), F.min("audio_kbps").alias("l_arate"), F.min("audio_sample_rate").alias("l_asr"),
-        F.min("bits_per_pixel").alias("l_bpp"))
-    ok_parts = ~F.col("bad")
-    for hi, lo in (("m_fps", "l_fps"), ("m_arate", "l_arate"), ("m_asr", "l_asr")):
-        ok_parts = ok_parts & ((F.col(hi) <= 0) | (F.col(lo) > 0))
-    ok_parts = ok_parts & ((F.col("m_fps") <= 0) | (F.col("l_bpp") > 0))
-    best = best.where(ok_parts).join(usable, keys)
+    kept = items.columns
     near = lambda v, m: F.col(v) + F.col(m) * 0.05 >= F.col(m)
-    cand = (df.join(best, keys).where(
-        (F.col("penalty") <= F.col("m_pen")) & (F.col("frame_size_int") >= F.col("m_frame")) & near("kbps", "m_rate")
-        & ((F.col("m_fps") <= 0) | ((F.col("fps") + 0.5 >= F.col("m_fps")) & near("bits_per_pixel", "m_bpp")))
-        & ((F.col("m_arate") <= 0) | near("audio_kbps", "m_arate"))
-        & ((F.col("m_asr") <= 0) | (F.col("audio_sample_rate") >= F.col("m_asr")))))
-    picked = (cand.groupBy(*keys).agg(
-        F.count("*").alias("cn"), F.min(F.struct(
-            item, F.col("penalty").alias("c_pen"), F.col("frame_size_int").alias("c_frame"),
-            F.col("kbps").alias("c_rate"), F.col("fps").alias("c_fps"), F.col("bits_per_pixel").alias("c_bpp"),
-            F.col("audio_kbps").alias("c_arate"), F.col("audio_sample_rate").alias("c_asr"),
-            "m_fps", "m_arate", "m_asr")).alias("c")).where("cn = 1").select(*keys, "c.*")
-              .withColumnRenamed(item, "winner"))
     more = lambda c, o: F.col(c) > F.col(o) + F.greatest(F.col(c), F.col(o)) * 0.05
-    strict = ((F.col("c_pen") < F.col("penalty")) | (F.col("c_frame") > F.col("frame_size_int"))
-              | more("c_rate", "kbps")
-              | ((F.col("m_fps") > 0) & ((F.col("c_fps") > F.col("fps") + 0.5) | more("c_bpp", "bits_per_pixel")))
-              | ((F.col("m_arate") > 0) & more("c_arate", "audio_kbps"))
-              | ((F.col("m_asr") > 0) & (F.col("c_asr") > F.col("audio_sample_rate"))))
-    beaten = (df.join(picked, keys).where(F.col(item) != F.col("winner")).groupBy(*keys, "winner")
-              .agg(F.bool_and(strict).alias("wins")))
-    return beaten.where("wins").select(*keys, "winner")
+
+    def step(df: DataFrame, passes: GroupPasses) -> DataFrame:
+        for c in ("kbps", "audio_kbps", "fps", "audio_sample_rate"):
+            df = df.withColumn(f"q_{c}", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        df = df.withColumn("q_bpp", F.col("bits_per_pixel")).withColumn("q_pen", F.col("penalty"))
+        best = {f"m_{c}": F.max(f"q_{c}") for c in ("kbps", "audio_kbps", "fps", "audio_sample_rate", "bpp")}
+        low = {f"l_{c}": F.min(f"q_{c}") for c in ("audio_kbps", "fps", "audio_sample_rate", "bpp")}
+        df = passes.add(df, m_pen=F.min("q_pen"), m_frame=F.max("frame_size_int"), **best, **low, **_review_aggs())
+        verdict, reason = _review_verdict()
+        df = df.withColumn("review_only", verdict).withColumn("uncertainty", reason)
+        comparable = ~F.col("review_only") & ~F.col("r_image") & ~F.col("r_noq")
+        for c in ("fps", "audio_kbps", "audio_sample_rate"):
+            comparable = comparable & ((F.col(f"m_{c}") <= 0) | (F.col(f"l_{c}") > 0))
+        comparable = comparable & ((F.col("m_fps") <= 0) | (F.col("l_bpp") > 0))
+        cand = (comparable & (F.col("q_pen") <= F.col("m_pen")) & (F.col("frame_size_int") >= F.col("m_frame"))
+                & near("q_kbps", "m_kbps")
+                & ((F.col("m_fps") <= 0) | ((F.col("q_fps") + 0.5 >= F.col("m_fps")) & near("q_bpp", "m_bpp")))
+                & ((F.col("m_audio_kbps") <= 0) | near("q_audio_kbps", "m_audio_kbps"))
+                & ((F.col("m_audio_sample_rate") <= 0) | (F.col("q_audio_sample_rate") >= F.col("m_audio_sample_rate"))))
+        fields = [F.col(item).alias("id"), F.col("q_pen").alias("pen"), F.col("frame_size_int").alias("frame"),
+                  *[F.col(f"q_{c}").alias(c) for c in ("kbps", "fps", "bpp", "audio_kbps", "audio_sample_rate")]]
+        df = passes.add(df.withColumn("__cand", cand), __cn=F.count_if("__cand"),
+                        __c=F.max(F.when(F.col("__cand"), F.struct(*fields))))
+        strict = ((F.col("__c.pen") < F.col("q_pen")) | (F.col("__c.frame") > F.col("frame_size_int"))
+                  | more("__c.kbps", "q_kbps")
+                  | ((F.col("m_fps") > 0) & ((F.col("__c.fps") > F.col("q_fps") + 0.5) | more("__c.bpp", "q_bpp")))
+                  | ((F.col("m_audio_kbps") > 0) & more("__c.audio_kbps", "q_audio_kbps"))
+                  | ((F.col("m_audio_sample_rate") > 0) & (F.col("__c.audio_sample_rate") > F.col("q_audio_sample_rate"))))
+        df = passes.add(df.withColumn("__s", F.when(F.col(item) != F.col("__c.id"), strict)), __wins=F.bool_and("__s"))
+        winner = F.when((F.col("__cn") == 1) & F.coalesce("__wins", F.lit(False)), F.col("__c.id"))
+        return df.select(*kept, "review_only", "uncertainty", winner.alias("winner"))
+
+    return by_heat(_with_ratios(items), keys, step)
+
+
+def decisive_winner(items: DataFrame, keys: Sequence[str] = ("group_id",), item: str = "path") -> DataFrame:
+    """The one item that is nowhere worse and strictly better than every other: (keys, winner)."""
+    return judge(items, keys, item).where(F.col(item) == F.col("winner")).select(*keys, "winner")
 
 
 #: (attribute, weight, both sides must be positive, relative tie, absolute tie) - fixed values.
