@@ -233,22 +233,30 @@ def full_verdict(a: FeatureBlock, b: FeatureBlock, i, j, cfg: ScanConfig, flippe
 
 def sliding_best(shorter: np.ndarray, longer: np.ndarray, min_sim: float) -> tuple[float, int]:
     """Best offset of ``shorter`` in ``longer`` by mean bit agreement; (0, 0) when nothing reaches ``min_sim``."""
-    m = len(shorter)
+    sim, at = sliding_best_many(shorter[None, :], longer, min_sim)
+    return float(sim[0]), int(at[0])
+
+
+def sliding_best_many(shorter: np.ndarray, longer: np.ndarray, min_sim: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sliding_best` for many clips of one length: (k, m) words against one source."""
+    k, m = shorter.shape
+    best, at = np.zeros(k, np.float32), np.zeros(k, np.int64)
     if m == 0 or m > len(longer):
-        return 0.0, 0
+        return best, at
     capacity = m * 32
     windows = np.lib.stride_tricks.sliding_window_view(longer, m)
-    best, at = np.float32(0.0), 0
-    for start in range(0, len(windows), 4096):  # bounded scratch for very long sources
-        bits = np.bitwise_count(windows[start:start + 4096] ^ shorter).sum(axis=1, dtype=np.int64)
+    step = max(1, 2_000_000 // (m * k))  # bounded scratch for long sources
+    for start in range(0, len(windows), step):
+        bits = np.bitwise_count(windows[None, start:start + step] ^ shorter[:, None, :]).sum(axis=2, dtype=np.int64)
         floor = np.maximum(best, np.float32(min_sim))
-        allowed = int(np.float32(np.float32(1.0) - floor) * np.float32(capacity))
+        allowed = ((np.float32(1.0) - floor) * np.float32(capacity)).astype(np.float32).astype(np.int64)
         sim = (np.float32(1.0) - bits.astype(np.float32) / np.float32(capacity)).astype(np.float32)
-        sim = np.where(bits <= allowed, sim, np.float32(0.0))
-        k = int(sim.argmax())
-        if sim[k] > best:
-            best, at = sim[k], start + k
-    return float(best), at
+        sim = np.where(bits <= allowed[:, None], sim, np.float32(0.0))
+        pos = sim.argmax(axis=1)
+        top = sim[np.arange(k), pos]
+        better = top > best
+        best, at = np.where(better, top, best), np.where(better, start + pos, at)
+    return best, at
 
 
 def _gradient(x: np.ndarray) -> np.ndarray:

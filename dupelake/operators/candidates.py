@@ -186,8 +186,10 @@ def hash_pairs(files: DataFrame, cfg: ScanConfig, samples: int) -> DataFrame:
     ``files``: file_id, path, duration_s, phash array (plus folder/size/dev/inode for the gates). Returns
     a, b (a first by path), diff, matches.
     """
-    deltas = [0, 1] if bucket_reach(cfg) else [0]
-    base = (files.withColumn("bk", duration_bucket("duration_s", cfg))
+    # keys over two positions are selective by themselves; single-position keys also carry the duration bucket
+    paired = required_matches(samples, cfg.quorum_ratio) > 1
+    deltas = [0, 1] if bucket_reach(cfg) and not paired else [0]
+    base = (files.withColumn("bk", F.lit(0).cast("bigint") if paired else duration_bucket("duration_s", cfg))
             .withColumn("fk", folder_key("folder", cfg) if cfg.folder_mode != "none" else F.lit("")))
     keyed = base.withColumn("key", F.explode(hash_band_keys("phash", samples, cfg)))
     left = keyed.alias("l")

@@ -8,6 +8,7 @@ from ..config import ScanConfig
 from ..functions import vectors as V
 from ..functions.kernels import is_dark, phash
 from ..operators import candidates as C, diagnostics, features as FE, grouping as G, scoring as SC
+from ..plans.skew import cut_lineage
 from . import query
 from .derive import ORDER_MEDIA_SQL, embeddings, order_media, table
 
@@ -77,7 +78,7 @@ SELECT a, b, CAST((d0 <= 2)::INT + (d1 <= 2)::INT + (d2 <= 2)::INT AS INT) AS ma
  WHERE (d0 <= 2)::INT + (d1 <= 2)::INT + (d2 <= 2)::INT >= 2""")
 def hash_quorum_pairs(spark, sf):
     cfg = ScanConfig(use_phash=True, sample_count=3)
-    return C.hash_pairs(_hashes(spark, sf), cfg, 3).select("a", "b", "matches", F.round(F.col("diff").cast("double"), 5).alias("diff"))
+    return C.hash_pairs(cut_lineage(_hashes(spark, sf)), cfg, 3).select("a", "b", "matches", F.round(F.col("diff").cast("double"), 5).alias("diff"))
 
 
 # --- frames and vectors from the embeddings -----------------------------------------------------------------------
@@ -106,7 +107,7 @@ def gray_image_pairs(spark, sf):
     cfg = ScanConfig(percent=86.5)
     media, frames = vector_media(spark, sf, True)
     reps, _ = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg), cfg)
-    return SC.matching_pairs(reps, cfg).select("a", "b", F.col("diff").cast("double").alias("diff"))
+    return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.col("diff").cast("double").alias("diff"))
 
 
 @query(f"""WITH e AS MATERIALIZED {_E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_SAD} / 262144.0 AS diff FROM e a JOIN e b ON a.vec_id < b.vec_id
@@ -116,7 +117,7 @@ def gray_video_pairs_same_folder(spark, sf):
     cfg = ScanConfig(percent=85.5, folder_mode="same")
     media, frames = vector_media(spark, sf, False)
     reps, _ = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg), cfg)
-    return SC.matching_pairs(reps, cfg).select("a", "b", F.col("diff").cast("double").alias("diff"))
+    return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.col("diff").cast("double").alias("diff"))
 
 
 @query(f"""WITH e AS MATERIALIZED {_E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b,
@@ -128,7 +129,7 @@ def gray_pairs_ignoring_black_and_white(spark, sf):
     cfg = ScanConfig(percent=87.0, ignore_black=True, ignore_white=True)
     media, frames = vector_media(spark, sf, True)
     reps, _ = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg), cfg)
-    return SC.matching_pairs(reps, cfg).select("a", "b", F.round(F.col("diff").cast("double"), 5).alias("diff"))
+    return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.round(F.col("diff").cast("double"), 5).alias("diff"))
 
 
 @query(f"""WITH e AS MATERIALIZED {_E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) / 16129.0 AS c
@@ -139,7 +140,7 @@ def embedding_pairs(spark, sf):
     media, frames = vector_media(spark, sf, False)
     vecs = embeddings(spark, sf).select(F.col("vec_id").alias("file_id"), F.lit(0).alias("pos"), V.quantize_unit("embedding").alias("vec"))
     reps, _ = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg, vecs), cfg)
-    return SC.matching_pairs(reps, cfg).select("a", "b", F.round(F.lit(1.0) - F.col("diff").cast("double"), 5).alias("similarity"))
+    return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.round(F.lit(1.0) - F.col("diff").cast("double"), 5).alias("similarity"))
 
 
 def duplicate_groups_from_frames(spark, sf):
