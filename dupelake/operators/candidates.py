@@ -191,15 +191,18 @@ def hash_pairs(files: DataFrame, cfg: ScanConfig, samples: int) -> DataFrame:
     deltas = [0, 1] if bucket_reach(cfg) and not paired else [0]
     base = (files.withColumn("bk", F.lit(0).cast("bigint") if paired else duration_bucket("duration_s", cfg))
             .withColumn("fk", folder_key("folder", cfg) if cfg.folder_mode != "none" else F.lit("")))
-    keyed = base.withColumn("key", F.explode(hash_band_keys("phash", samples, cfg)))
-    left = keyed.alias("l")
+    # only (key, id) rows are shuffled for the self join; features come back once per distinct candidate pair
+    keyed = base.select("file_id", "bk", "fk", F.explode(hash_band_keys("phash", samples, cfg)).alias("key"))
+    gate = ["fk"] if cfg.folder_mode == "same" else []
+    left = keyed.select("key", "bk", *gate, F.col("file_id").alias("x"))
     right = (keyed.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in deltas])))
-             .withColumn("bk", F.col("bk") - F.col("delta")).alias("r"))
+             .select("key", (F.col("bk") - F.col("delta")).alias("bk"), *gate, F.col("file_id").alias("y"), "delta"))
+    ids = (left.join(right, ["key", "bk", *gate]).where((F.col("delta") == 1) | (F.col("x") < F.col("y")))
+           .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
     bits = allowed_bits(cfg.percent)
-    cond = [F.col("l.key") == F.col("r.key"), F.col("l.bk") == F.col("r.bk")]
-    if cfg.folder_mode == "same":
-        cond.append(F.col("l.fk") == F.col("r.fk"))
-    pairs = left.join(right, cond).where((F.col("r.delta") == 1) | (F.col("l.file_id") < F.col("r.file_id")))
+    keep = ["file_id", "path", "duration_s", "phash", "fk", *[c for c in ("size", "dev", "inode") if c in base.columns]]
+    l, r = base.select(*keep).alias("l"), base.select(*keep).alias("r")
+    pairs = ids.join(l, F.col("x") == F.col("l.file_id")).join(r, F.col("y") == F.col("r.file_id"))
     dist = F.zip_with("l.phash", "r.phash", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     pairs = (pairs.where(within_tolerance("l.duration_s", "r.duration_s", cfg))
              .withColumn("dist", dist)
@@ -213,5 +216,4 @@ def hash_pairs(files: DataFrame, cfg: ScanConfig, samples: int) -> DataFrame:
     return (pairs.select(
         F.when(first, F.col("l.file_id")).otherwise(F.col("r.file_id")).alias("a"),
         F.when(first, F.col("r.file_id")).otherwise(F.col("l.file_id")).alias("b"),
-        diff.cast("float").alias("diff"), "matches")
-        .dropDuplicates(["a", "b"]))
+        diff.cast("float").alias("diff"), "matches"))

@@ -178,15 +178,38 @@ def _merge_rounds(reps: DataFrame, edges: DataFrame, cfg: ScanConfig) -> DataFra
 
     A pending entry is ready when it is the earliest pending entry on every group its turn touches. Ready entries
     touch disjoint groups, so they commute and advance in one round. Edges inside a group are dropped for good.
-    Copy classes take part as one vertex; with the flip option each copy is its own vertex.
+    Copy classes take part as one vertex, or as few parts where flipped matches can take single copies off.
     """
-    ordv = reps.select("file_id", F.struct("path", "file_id").alias("ord"), "copies")
-    state = cut_lineage(ordv.select(
-        F.col("file_id").alias("v"), "ord",
-        F.lit(None).cast("bigint").alias("grp"), F.lit(0.0).cast("float").alias("diff"),
-        F.lit(0).cast("smallint").alias("flags"), F.col("copies")))
-    pending = cut_lineage(edges.select("a", "b", "diff", "flags"))
-    feats = reps
+    taken = edges.where(~F.col("plain")).join(
+        reps.where("copies = 1").select(F.col("file_id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("file_id")).agg(
+        F.count("*").alias("taken"))
+    parts = (reps.select("file_id", "path", "copies").join(taken, "file_id", "left")
+             .withColumn("last", F.least(F.coalesce("taken", F.lit(0)), F.col("copies") - 1).cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("last")))))
+    parts = cut_lineage(parts.select(
+        F.struct(F.col("file_id").alias("rep"), F.col("part")).alias("v"), F.struct("path", "file_id", "part").alias("ord"),
+        F.when(F.col("part") < F.col("last"), 1).otherwise(F.col("copies") - F.col("last")).alias("copies"),
+        (F.col("last") + 1).alias("parts")))
+    state = cut_lineage(parts.select(
+        "v", "ord", F.lit(None).cast("struct<rep:bigint,part:int>").alias("grp"), F.lit(0.0).cast("float").alias("diff"),
+        F.lit(0).cast("smallint").alias("flags"), "copies", "parts"))
+    ends = parts.select("v", F.col("v.rep").alias("rep"), F.col("v.part").alias("part"))
+    ea, eb = ends.select(F.col("v").alias("va"), F.col("rep").alias("a")), ends.select(F.col("v").alias("vb"), F.col("rep").alias("b"))
+    self_flags = int(MatchFlag.GRAYSCALE | MatchFlag.PHASH) if cfg.combine else 0
+    outer = edges.join(ea, "a").join(eb, "b").select(F.col("va").alias("a"), F.col("vb").alias("b"), "diff", "flags")
+    x, y = ends.alias("x"), ends.alias("y")
+    own_class = x.join(y, (F.col("x.rep") == F.col("y.rep")) & (F.col("x.part") < F.col("y.part"))).select(
+        F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.lit(0.0).cast("float").alias("diff"),
+        F.lit(self_flags).cast("smallint").alias("flags"))
+    pending = cut_lineage(outer.unionByName(own_class))
+
+    def similar(ask: DataFrame, left: str, right: str) -> DataFrame:
+        """Un-flipped verdict of (left, right) part pairs, asked once per class pair."""
+        classes = ask.select(F.col(f"{left}.rep").alias("a"), F.col(f"{right}.rep").alias("b")).distinct()
+        yes = score_pairs(classes, reps, cfg, flip=False).where("matched").select(
+            F.col("a").alias("__a"), F.col("b").alias("__b"))
+        return ask.join(yes, (F.col(f"{left}.rep") == F.col("__a")) & (F.col(f"{right}.rep") == F.col("__b"))).drop("__a", "__b")
+
     while True:
         sa = state.select(F.col("v").alias("a"), F.col("ord").alias("oa"), F.col("grp").alias("ga"),
                           (F.col("copies") > 1).alias("many"))
@@ -207,8 +230,7 @@ def _merge_rounds(reps: DataFrame, edges: DataFrame, cfg: ScanConfig) -> DataFra
             F.lit(0.0).cast("float").alias("d0"), F.lit(0).cast("smallint").alias("f0")).distinct()
         ask = ready.where(F.col("ga").isNull() & ~F.col("many") & F.col("gb").isNotNull()).select(
             F.col("gb").alias("a"), F.col("a").alias("b")).distinct()
-        yes = score_pairs(ask, feats, cfg, flip=False).where("matched").select(
-            F.col("a").alias("gb"), F.col("b").alias("a"), F.lit(True).alias("open"))
+        yes = similar(ask, "a", "b").select(F.col("a").alias("gb"), F.col("b").alias("a"), F.lit(True).alias("open"))
         free = ready.where(F.col("ga").isNull() & ~F.col("many")).join(yes, ["gb", "a"], "left")
         opening = (free.where(F.col("gb").isNull() | F.col("open")).groupBy("a")
                    .agg(F.min_by(F.struct("gb", "ob", "diff", "flags"), "ob").alias("f")))
@@ -220,9 +242,7 @@ def _merge_rounds(reps: DataFrame, edges: DataFrame, cfg: ScanConfig) -> DataFra
                 .where(F.col("R").isNotNull() & (F.col("ga").isNotNull() | (F.col("ob") >= F.col("from")))))
         rest = cut_lineage(rest.withColumn("other", F.coalesce("gb", "b")).where(F.col("R") != F.col("other")))
         sure = F.coalesce(F.col("fresh") & (F.col("ob") == F.col("from")), F.lit(False))
-        probe = score_pairs(rest.where(~sure).select(F.col("R").alias("a"), F.col("other").alias("b")).distinct(),
-                            feats, cfg, flip=False).where("matched").select(
-            F.col("a").alias("R"), F.col("b").alias("other"), F.lit(True).alias("hit"))
+        probe = similar(rest.where(~sure).select("R", "other").distinct(), "R", "other").withColumn("hit", F.lit(True))
         accepted = rest.join(probe, ["R", "other"], "left").where(sure | F.col("hit"))
         accepted = cut_lineage(accepted.select("a", "b", "ob", "gb", "R", "other", "diff", "flags", "ga", "oa"))
         joins = (accepted.where(F.col("gb").isNull()).groupBy(F.col("b").alias("v"))
@@ -232,7 +252,7 @@ def _merge_rounds(reps: DataFrame, edges: DataFrame, cfg: ScanConfig) -> DataFra
         entries = opened.select(F.col("a").alias("v"), F.col("rep").alias("e_rep"), F.col("d0"),
                                 F.when(F.col("fresh"), F.lit(0).cast("smallint")).otherwise(F.col("f0")).alias("f0"))
         nxt = (state.join(joins, "v", "left").join(entries, "v", "left").join(merges, "grp", "left")
-               .select("v", "ord", "copies",
+               .select("v", "ord", "copies", "parts",
                        F.coalesce("into", "grp", "e_rep", "j.R").alias("grp"),
                        F.when(F.col("grp").isNotNull(), F.col("diff")).otherwise(F.coalesce("d0", "j.diff", "diff")).alias("diff"),
                        F.when(F.col("grp").isNotNull(), F.col("flags")).otherwise(F.coalesce("f0", "j.flags", "flags")).alias("flags")))
@@ -242,12 +262,10 @@ def _merge_rounds(reps: DataFrame, edges: DataFrame, cfg: ScanConfig) -> DataFra
     state = state.withColumn("grp", F.coalesce("grp", F.when(F.col("copies") > 1, F.col("v"))))
     # the group kept its founder only if the founder was never joined to another one first
     own = (F.col("diff") == 0) & (F.col("flags") == 0) & (F.col("copies") > 1)
-    self_flags = int(MatchFlag.GRAYSCALE | MatchFlag.PHASH) if cfg.combine else 0
     return state.where(F.col("grp").isNotNull()).select(
-        F.col("v").alias("rep_id"), F.lit(0).alias("part"), F.lit(1).alias("parts"), F.col("grp").alias("group_id"),
-        "diff", "flags", "diff",
-        F.when(own, F.lit(self_flags)).otherwise(F.col("flags")).cast("smallint").alias("flags_rest")).toDF(
-        "rep_id", "part", "parts", "group_id", "diff", "flags", "diff_rest", "flags_rest")
+        F.col("v.rep").alias("rep_id"), F.col("v.part").alias("part"), F.col("parts"), F.col("grp.rep").alias("group_id"),
+        "diff", "flags", F.col("diff").alias("diff_rest"),
+        F.when(own, F.lit(self_flags)).otherwise(F.col("flags")).cast("smallint").alias("flags_rest"))
 
 
 def _prune(active: list[int], weight: np.ndarray, similar: np.ndarray) -> tuple[list[int], list[int]]:
