@@ -45,7 +45,7 @@ def duration_bucket(duration, cfg: ScanConfig) -> Column:
     if 0 < hi < lo:
         return F.floor(d / hi * _SHRINK).cast("bigint")
     start = lo / p if lo > 0 else 1e-3
-    at_start = 1.0
+    at_start = start / lo if lo > 0 else 1.0
     key = F.when(d <= start, d / lo if lo > 0 else F.lit(at_start))
     if hi > 0 and hi / p > start:
         stop = hi / p
