@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from enum import IntFlag
 
 
@@ -93,8 +93,6 @@ class ScanConfig:
     #: larger ones run the same rule as distributed rounds.
     replay_limit: int = 2000
     block_rows: int = 512
-    case_sensitive: bool = True
-    extras: dict = field(default_factory=dict, hash=False, compare=False)
 
     def with_(self, **changes) -> "ScanConfig":
         return replace(self, **changes)

@@ -15,8 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 #: Above this many rows a group no longer goes through a single window partition.
 HOT_ROWS_CONF = "spark.dupelake.hotGroupRows"
 HOT_ROWS_DEFAULT = 200_000
-#: Estimated bytes up to which a lookup side is broadcast.
-BROADCAST_ROWS = 50_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -38,11 +36,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup side only when a bounded count proves it small; otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def _cols(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
