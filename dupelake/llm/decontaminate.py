@@ -62,7 +62,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     w = F.least(F.lit(stretch), F.size("item_toks"))
     need = F.ceil(w * F.lit(share) - F.lit(1e-9)).cast("int")
     pairs = pairs.withColumn("w", w).withColumn("need", need).where(F.size("equal") >= F.col("w"))
-    dense = F.exists(F.sequence(F.lit(1), F.size("equal") - F.col("w") + 1),
+    dense = F.exists(F.sequence(F.lit(1), F.greatest(F.size("equal") - F.col("w") + 1, F.lit(1))),
                      lambda i: F.aggregate(F.slice("equal", i, F.col("w")), F.lit(0), lambda a, x: a + x) >= F.col("need"))
     return pairs.where(dense).select(
         "doc_id", "item_id", "doc_start", F.col("item_start").cast("long"), F.size("equal").cast("long").alias("n_tokens"),
