@@ -1,7 +1,8 @@
 """Benchmark decontamination with spaced-seed hashing, in DataFrame functions only.
 
 A seed mask is a string of 1 and 0; a window of tokens is hashed over its 1 positions, so tokens under a 0 may differ.
-Training and benchmark windows join on (mask, hash); every hit names a diagonal (training position less item position).
+A bitmap of fixed size passes the training windows that may match; training and benchmark windows join on the hash, which
+includes the mask; every hit names a diagonal (training position less item position).
 On the diagonal all tokens of the item are compared, and an overlap is a stretch of ``stretch`` aligned tokens (the whole
 item if it is shorter) of which at least ``share`` are equal.
 
@@ -16,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, without
+from .common import BROADCAST_ROWS, materialise, without
 
 #: Five of eight positions each; any two masks share at most three positions.
 MASKS = ("11100101", "11010011", "10111100")
@@ -29,16 +30,41 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """One row per token position and mask: ``keep``, pos (from 0), mask, seed."""
+def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...], admit=None) -> DataFrame:
+    """One row per token position and mask: ``keep``, pos (from 0), seed. ``admit`` maps a seed to whether it is wanted."""
     span = max(map(len, masks))
     n = F.size("toks")
     shifted = [F.slice("toks", F.lit(j + 1), F.greatest(n - span + 1, F.lit(0))).alias(f"t{j}") for j in range(span)]
     zipped = rows.where(n >= span).select(*keep, F.arrays_zip(*shifted).alias("win"))
     at = zipped.select(*keep, F.posexplode("win").alias("pos", "w"))
-    hashes = [F.struct(F.lit(m).alias("mask"), F.xxhash64(*[F.col("w")[f"t{j}"] for j, c in enumerate(mask) if c == "1"]).alias("seed"))
-              for m, mask in enumerate(masks)]
-    return at.select(*keep, "pos", F.explode(F.array(*hashes)).alias("s")).select(*keep, "pos", "s.mask", "s.seed")
+    seeds = [F.xxhash64(F.lit(m), *[F.col("w")[f"t{j}"] for j, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(masks)]
+    at = at.select(*keep, "pos", *[s.alias(f"s{m}") for m, s in enumerate(seeds)])
+    if admit is not None:
+        wanted = F.lit(False)
+        for m in range(len(masks)):
+            wanted = wanted | admit(F.col(f"s{m}"))
+        at = at.where(wanted)
+    return at.select(*keep, "pos", F.explode(F.array(*[f"s{m}" for m in range(len(masks))])).alias("seed"))
+
+
+#: Longs of the seed bitmap, whatever the size of the benchmark: 128 KB.
+BITMAP = 16_384
+
+
+def _bitmap_test(seeds: DataFrame):
+    """A test that admits every seed of ``seeds`` and few others, by a bitmap of fixed size in a scalar subquery."""
+    bit = F.pmod("seed", F.lit(BITMAP * 64))
+    ones = seeds.select(F.floor(bit / 64).cast("int").alias("word"), F.expr("shiftleft(bigint(1), int(pmod(seed, 64)))").alias("bits"))
+    zeros = seeds.sparkSession.range(BITMAP).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = ones.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    whole = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all")).select(F.transform("all", lambda x: x["bits"]).alias("bitmap"))
+    bitmap = materialise(whole).scalar()
+
+    def admit(seed: Column) -> Column:
+        word = F.get(bitmap, F.shiftrightunsigned(F.pmod(seed, F.lit(BITMAP * 64)), 6).cast("int"))
+        return F.getbit(word, F.pmod(seed, F.lit(64)).cast("int")) == 1
+
+    return admit
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, stretch: int = STRETCH, share: float = SHARE,
@@ -46,10 +72,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     """Verified overlaps: doc_id, item_id, doc_start, item_start, n_tokens (aligned), n_equal; one row per diagonal."""
     items = (benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("toks")).distinct()
              .withColumn("item_n", F.size("toks")).withColumn("item_key", F.xxhash64("toks")))
-    seeds = _seeds(items, ["item_id", "item_key", "item_n"], masks).withColumnRenamed("pos", "item_pos")
+    seeds = materialise(_seeds(items, ["item_id", "item_key", "item_n"], masks).withColumnRenamed("pos", "item_pos"))
     few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", tokens(F.col("text")).alias("toks"))
-    hits = _seeds(texts, ["doc_id", "toks"], masks).join(F.broadcast(seeds) if few else seeds, ["mask", "seed"])
+    hits = _seeds(texts, ["doc_id", "toks"], masks, _bitmap_test(seeds)).join(F.broadcast(seeds) if few else seeds, "seed")
     shift = F.col("pos") - F.col("item_pos")
     found = hits.select(
         "doc_id", "item_id", "item_key", shift.alias("shift"),
