@@ -16,8 +16,9 @@ no rows; further columns are kept out of the score.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,24 +43,34 @@ class Lexicon:
 
     entries: dict[str, tuple[int, float]]
     base_rate: float = 0.1
-    lengths: tuple[int, ...] = field(default=BEGINNINGS)
+    starts: frozenset[str] = frozenset()  # the first four characters of every entry
 
+    def __post_init__(self):
+        self.starts = frozenset(e.rstrip("*")[:4] for e in self.entries)
 
-def _split(text: str) -> list[str]:
-    return text.lower().translate(_MARKS).split()
+    def find(self, word: str) -> tuple[int, float] | None:
+        if word[:4] not in self.starts:
+            return None
+        e = self.entries
+        return e.get(word) or e.get(word[:4] + "*") or e.get(word[:5] + "*") or e.get(word[:6] + "*")
 
 
-#: Marks that end a word.
-_MARKS = {ord(c): " " for c in ".,;:!?\"'()[]{}<>|/\\*#$%&@-_=+~`^«»“”„¿¡…0123456789"}
+#: Marks at the ends of a word.
+_MARKS = ".,;:!?\"'()[]{}<>|/\\*#$%&@-_=+~`^«»“”„¿¡…0123456789"
 
 
-def grams(text: str | None) -> list[str]:
+def word_counts(text: str | None) -> Counter:
+    """Lower-case runs without white space and their counts; marks at the ends are still on."""
+    return Counter((text or "").lower().split())
+
+
+def grams(text: str | None) -> set[str]:
     """Distinct words and word beginnings of a text."""
-    seen = set(_split(text or ""))
-    out = set(seen)
+    out = {w.strip(_MARKS) for w in word_counts(text)}
+    out.discard("")
     for n in BEGINNINGS:
-        out.update(w[:n] + "*" for w in seen if len(w) >= n)
-    return sorted(out)
+        out |= {w[:n] + "*" for w in out if len(w) >= n and w[-1] != "*"}
+    return out
 
 
 def _as_arrow(fn, schema: StructType):
@@ -91,7 +102,7 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_ENTRIES, least_docs: int =
     rows = StructType([StructField("gram", StringType()), StructField("y", IntegerType())])
 
     def fn(texts, ys):
-        pairs = [(g, y) for t, y in zip(texts, ys) for g in grams(t)]
+        pairs = [(g, y) for t, y in zip(texts, ys) for g in sorted(grams(t))]
         return list(zip(*pairs)) if pairs else ([], [])
 
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -117,20 +128,16 @@ N_VOTERS = PARTS + 3
 
 def measure(text: str | None, lex: Lexicon) -> tuple[np.ndarray, tuple[int, ...]]:
     """(features, votes) of one text."""
-    entries, hits, kinds, weight = lex.entries, [0.0] * (PARTS + 1), set(), 0.0
-    words = _split(text or "")
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    for w, n in counts.items():
-        found = entries.get(w)
-        if found is None and len(w) >= 4:
-            found = entries.get(w[:4] + "*") or entries.get(w[:5] + "*") or entries.get(w[:6] + "*")
-        if found is not None:
+    hits, kinds, weight, words = [0.0] * (PARTS + 1), set(), 0.0, 0
+    starts = lex.starts
+    for w, n in word_counts(text).items():
+        words += n
+        w = w.strip(_MARKS)
+        if w[:4] in starts and (found := lex.find(w)):
             hits[found[0]] += n
             kinds.add(w)
             weight += found[1]
-    total, n = sum(hits), max(1, len(words))
+    total, n = sum(hits), max(1, words)
     rate = total / n
     x = np.array([*np.log1p(hits), np.log1p(total), np.log1p(len(kinds)), min(weight, 60.0) / 10, min(1.0, 20 * rate), 1.0 if total else 0.0,
                   1.0 if len(kinds) > 1 else 0.0, np.log1p(n) / 10])
