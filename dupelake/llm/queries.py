@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, ngram_join, packing, toxicity
+from . import byte_dedup, decontaminate, lines, ngram_join, packing, toxicity
 from .common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op7_line_dedup(spark, sf_dir):
 @query(decontaminate.oracle_sql())
 def op8_benchmark_decontamination(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_bwt_dedup(spark, sf_dir):
+    return byte_dedup.remove_repeats(table(spark, sf_dir, "documents"))
