@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_dedup, decontaminate, lines, ngram_join, packing, toxicity
+from . import byte_dedup, decontaminate, html_text, language, lines, ngram_join, packing, quality, toxicity
 from .common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,24 @@ def op8_benchmark_decontamination(spark, sf_dir):
 @query()
 def op5_bwt_dedup(spark, sf_dir):
     return byte_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_html_extraction(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.admitted_rows)
+    return quality.score(docs, model).select(
+        "doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs, language.admitted_rows))
+    return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
