@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_dedup, decontaminate, html_text, language, lines, ngram_join, packing, quality, toxicity
+from . import byte_dedup, decontaminate, hilbert, html_text, language, lines, ngram_join, packing, quality, toxicity
 from .common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs, language.admitted_rows))
     return found.select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_hilbert_neighbours(spark, sf_dir):
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
