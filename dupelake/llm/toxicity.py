@@ -177,12 +177,12 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds:
                 got = np.bincount(votes[:, j] + 1, mass[c], 3) + 0.5
                 model.table[j, c] = got / got.sum()
         model.prior = float(np.clip(mass[1].sum() / max(total, 1), 0.005, 0.6))
-        if step % 10 == 9:  # what the classes leave unexplained is correlation between voters
+        if step == 0:  # what the balance of votes leaves unexplained is correlation; later rounds would explain it as class
             centred = votes - np.einsum("jcv,v,cn->nj", model.table, [-1, 0, 1], np.stack((1 - q, q)))
             cov = (centred * counts[:, None]).T @ centred / max(total, 1)
             sd = np.sqrt(np.diag(cov)) + 1e-9
             model.correlation = cov / sd[:, None] / sd[None]
-            model.weight = 1 / np.maximum(1, np.abs(np.where(np.abs(model.correlation) > 0.05, model.correlation, 0)).sum(axis=1))
+            model.weight = 1 / np.maximum(1, np.abs(np.where(np.abs(model.correlation) > 0.1, model.correlation, 0)).sum(axis=1))
         q = model.posterior(votes)
     return model
 
