@@ -20,8 +20,8 @@ from .common import crc_fold
 
 THRESHOLD = 0.3
 #: Labelled training rows read at most.
-SAMPLE_ROWS = 20_000
-TREES, DEPTH, LEAST_ROWS = 40, 3, 15
+SAMPLE_ROWS = 10_000
+TREES, DEPTH, LEAST_ROWS = 30, 3, 15
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -105,7 +105,7 @@ def fires(rules: list[Rule], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> tuple[float, np.ndarray]:
+def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 800) -> tuple[float, np.ndarray]:
     """(intercept, weights) by accelerated proximal gradient steps; columns are weighed by their spread."""
     spread = np.maximum(a.std(axis=0), 1e-3)
     b = np.hstack((a / spread, np.ones((len(a), 1))))
@@ -140,7 +140,7 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, admitted, sample_rows: int = SAMPLE_ROWS, penalty: float = 1e-3) -> RuleModel:
+def fit(docs: DataFrame, labels: DataFrame, admitted, sample_rows: int = SAMPLE_ROWS, penalty: float = 3e-3) -> RuleModel:
     picked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & admitted(F.col("doc_id")))
               .groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("__y"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
