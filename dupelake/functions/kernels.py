@@ -114,6 +114,20 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64) if x.dtype == np.int64 else x).astype(np.int64)
 
 
+def _vectors(packed, ok: np.ndarray) -> np.ndarray:
+    """Packed int8 vectors as (files, positions, dimension); a file without any usable vector may be packed at any width."""
+    n, positions = ok.shape
+    sizes = np.array([len(v) for v in packed])
+    width = int(sizes.max()) // positions if n else 1
+    out = np.zeros((n, positions * width), np.int8)
+    whole = sizes == positions * width
+    if (ok.any(axis=1) & ~whole).any():
+        raise ValueError("all vectors of one job need the same dimension")
+    if whole.any():
+        out[whole] = np.frombuffer(b"".join(v for v, w in zip(packed, whole) if w), np.int8).reshape(int(whole.sum()), -1)
+    return out.reshape(n, positions, width)
+
+
 class FeatureBlock:
     """Aligned features of many files, decoded from one Arrow batch.
 
@@ -133,7 +147,7 @@ class FeatureBlock:
         if "vec" in rows and self.n and rows["vec"].notna().all():
             ok = np.array([np.asarray(o, bool) for o in rows["vec_ok"]])
             self.vec_ok = ok
-            self.vec = np.frombuffer(b"".join(rows["vec"]), np.int8).reshape(self.n, ok.shape[1], -1)
+            self.vec = _vectors(rows["vec"], ok)
 
     def flipped(self) -> "FeatureBlock":
         out = object.__new__(FeatureBlock)

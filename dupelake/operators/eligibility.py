@@ -100,8 +100,8 @@ def compare_eligible(media: DataFrame, frames: DataFrame, cfg: ScanConfig) -> Da
 
 
 def complete_snapshots(media: DataFrame, frames: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """Drop files missing a position or holding a frame of the wrong length."""
-    full = (frames.groupBy("file_id").agg(F.count_if(F.length("gray") == FRAME_PIXELS).alias("good"),
+    """Drop files missing a distinct position or holding a frame of the wrong length."""
+    full = (frames.groupBy("file_id").agg(F.count_distinct(F.when(F.length("gray") == FRAME_PIXELS, F.col("pos"))).alias("good"),
                                           F.count_if(F.length("gray") != FRAME_PIXELS).alias("odd")))
     need = F.when(F.col("is_image"), 1).otherwise(cfg.sample_count)
     return (media.join(full, "file_id").where((F.col("good") >= need) & (F.col("odd") == 0)).drop("good", "odd"))

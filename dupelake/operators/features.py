@@ -153,9 +153,11 @@ def audio_fingerprint(pcm: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint")) for b in range(32)), F.lit(0).cast("bigint"))
     signed = F.when(F.col("w") >= 2**31, F.col("w") - 2**32).otherwise(F.col("w")).cast("int")
     words = voted.withColumn("w", word).select("file_id", "second", signed.alias("word"))
-    # one word per second of one file
-    return words.groupBy("file_id").agg(
+    # one word per second of one file; a track without a whole second of frames has none
+    found = words.groupBy("file_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("second", "word"))), lambda x: x["word"]).alias("words"))
+    return (pcm.select("file_id").distinct().join(found, "file_id", "left")
+            .withColumn("words", F.coalesce("words", F.array().cast("array<int>"))))
 
 
 def fingerprint_status(media: DataFrame, audio: DataFrame) -> DataFrame:

@@ -130,9 +130,9 @@ def prune_not_a_match(not_a_match: DataFrame, listing: DataFrame) -> DataFrame:
 def quarantine(catalog: DataFrame, attempts: DataFrame) -> DataFrame:
     """Flag files whose last attempt began but never ended: audio phases get the audio error, others the frame error."""
     from ..config import EntryFlag
-    opened = attempts.where("event = 'begin'").select("phase", "path").distinct()
-    closed = attempts.where("event = 'end'").select("phase", "path").distinct()
-    bad = opened.join(closed, ["phase", "path"], "left_anti").groupBy("path").agg(
+    # at one time a begin counts as the later event, so that a file is rather looked at again than lost
+    last = attempts.groupBy("phase", "path").agg(F.max_by("event", F.struct("ts", F.col("event") == "begin")).alias("event"))
+    bad = last.where("event = 'begin'").groupBy("path").agg(
         F.bit_or(F.when(F.col("phase") == "audio", int(EntryFlag.AUDIO_FINGERPRINT_ERROR)).otherwise(
             int(EntryFlag.THUMBNAIL_ERROR))).alias("__f"))
     return catalog.join(bad, "path", "left").withColumn(

@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", name: str = "dupelake", partitions: in
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "12g")
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)

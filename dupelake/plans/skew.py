@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -18,15 +18,15 @@ HOT_ROWS_DEFAULT = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a temporary one only for local sessions that name none."""
+    """Use the folder the cluster names; a folder of its own only for a local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    elif sc.master.startswith("local["):
+        sc.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex}")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 

@@ -25,5 +25,5 @@ def query(sql: str | None = None):
 def load_all() -> None:
     import importlib
 
-    for name in ("ranked", "selected", "matching", "clips", "catalog", "folder_views", "streams"):
+    for name in ("ranked", "selected", "matching", "clips", "catalog", "folder_views", "streams", "upkeep"):
         importlib.import_module(f"{__name__}.{name}")

@@ -159,14 +159,17 @@ def pruned_not_a_match_sets(spark, sf):
     return L.prune_not_a_match(it.select(F.col("group_id").cast("bigint").alias("set_id"), "path"), it.where("size % 7 <> 0").select("path"))
 
 
-@query(f"""WITH a AS (SELECT l_partkey % 500 AS k, CASE WHEN l_linestatus = 'O' THEN 'audio' ELSE 'sampling' END AS phase, CASE WHEN l_quantity > 5 THEN 'end' ELSE 'begin' END AS ev FROM lineitem WHERE l_quantity < 7),
- b AS (SELECT DISTINCT k, phase FROM a WHERE ev = 'begin' EXCEPT SELECT DISTINCT k, phase FROM a WHERE ev = 'end'), f AS (SELECT k, bit_or(CASE phase WHEN 'audio' THEN 64 ELSE 4 END) AS f FROM b GROUP BY 1)
+@query(f"""WITH a AS (SELECT l_partkey AS k, CASE WHEN l_linestatus = 'O' THEN 'audio' ELSE 'sampling' END AS phase,
+  arg_max(CASE WHEN l_quantity > 25 THEN 'end' ELSE 'begin' END, (l_orderkey * 10 + l_linenumber) * 2 + CASE WHEN l_quantity > 25 THEN 0 ELSE 1 END) AS ev FROM lineitem GROUP BY 1, 2),
+ f AS (SELECT k, bit_or(CASE phase WHEN 'audio' THEN 32 * 2 ELSE 4 END) AS f FROM a WHERE ev = 'begin' GROUP BY 1)
 SELECT file_id, CAST(flags | coalesce(f, 0) AS INT) AS flags FROM {C} LEFT JOIN f ON k = file_id""")
 def quarantined_files(spark, sf):
+    """Attempts on every part, in order of their lines."""
     c = _catalog(spark, sf)
-    a = table(spark, sf, "lineitem").where("l_quantity < 7").select(
-        (F.col("l_partkey") % 500).alias("file_id"), F.when(F.col("l_linestatus") == "O", "audio").otherwise("sampling").alias("phase"),
-        F.when(F.col("l_quantity") > 5, "end").otherwise("begin").alias("event"))
+    a = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ts"),
+        F.when(F.col("l_linestatus") == "O", "audio").otherwise("sampling").alias("phase"),
+        F.when(F.col("l_quantity") > 25, "end").otherwise("begin").alias("event"))
     return L.quarantine(c, a.join(c.select("file_id", "path"), "file_id")).select("file_id", "flags")
 
 
@@ -272,13 +275,13 @@ def error_categories(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.error_category(t).alias("category"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 9 = 0 THEN -1.0 ELSE round(l_partkey % 60000 / (l_suppkey % 9)::DOUBLE, 3) END AS fps,
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 9 = 0 OR l_partkey % 60000 = 0 THEN -1.0 ELSE round(l_partkey % 60000 / (l_suppkey % 9)::DOUBLE, 3) END AS fps,
  CASE l_linenumber % 4 WHEN 0 THEN 'HLG' WHEN 1 THEN 'HDR10+' WHEN 2 THEN 'HDR10' ELSE '' END AS hdr,
  CASE WHEN l_suppkey % 9 = 0 OR l_linenumber = l_suppkey % 9 OR round_even(l_partkey * l_linenumber / (l_suppkey % 9)::DOUBLE, 0) <= 0
    OR round_even(l_partkey * l_linenumber / (l_suppkey % 9)::DOUBLE, 0) > 65536 THEN l_partkey ELSE CAST(round_even(l_partkey * l_linenumber / (l_suppkey % 9)::DOUBLE, 0) AS BIGINT) END AS shown_width
- FROM lineitem WHERE l_partkey > 0""")
+ FROM lineitem""")
 def stream_values(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_partkey > 0")
+    l = table(spark, sf, "lineitem")
     k = F.col("l_linenumber") % 4
     return l.select("l_orderkey", "l_linenumber", "l_partkey",
                     F.round(fps_value(F.concat_ws("/", (F.col("l_partkey") % 60000).cast("string"), (F.col("l_suppkey") % 9).cast("string"))).cast("double"), 3).alias("fps"),

@@ -217,9 +217,7 @@ def single_group_plans(spark, sf):
 
 def anchor_suggestions(spark, sf):
     it, matches, rel, sets, assigned = _sets(spark, sf, 0.0)
-    boosted = rel.withColumn("match_percent", F.col("match_percent") + 50)
-    rec = R.recommend_best(it)
-    return FO.anchor_suggestion(it, rec, boosted, matches)
+    return FO.anchor_suggestion(it, R.recommend_best(it), rel, matches)
 
 
 query()(anchor_suggestions)

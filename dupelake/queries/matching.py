@@ -152,18 +152,42 @@ def duplicate_groups_from_frames(spark, sf):
 query()(duplicate_groups_from_frames)
 
 
+@query(f"""WITH e AS MATERIALIZED {_E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.vec_id % 4 = 0 AS ia, b.vec_id % 4 = 0 AS ib, abs(a.label - b.label) AS gap,
+  least(100.0 + a.label, 100.0 + b.label) * 0.01 AS tol, {_SAD} / 262144.0 AS diff FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+ g AS (SELECT *, ia = ib AS type_ok, ia OR gap <= tol AS duration_ok, ia = ib AND diff <= 0.145 AS similarity_ok FROM p)
+SELECT a, b, true AS extension_ok, true AS inclusion_ok, type_ok, duration_ok, true AS folder_ok, similarity_ok, true AS hard_link_ok, CAST(NULL AS VARCHAR) AS reason_a, CAST(NULL AS VARCHAR) AS reason_b,
+ CAST(gap AS DOUBLE) AS duration_gap, CASE WHEN similarity_ok THEN round(1 - diff, 5) ELSE 0 END AS similarity, false AS flip_used,
+ CASE WHEN NOT type_ok THEN 'type' WHEN NOT duration_ok THEN 'duration' WHEN NOT similarity_ok THEN 'similarity' END AS first_failed_gate,
+ type_ok AND duration_ok AND similarity_ok AS duplicate FROM g""")
 def pair_explanations(spark, sf):
-    cfg = ScanConfig(percent=85.5, duration_percent=1.0, scan_whole_catalog=True)
+    """Every file with the next one; images and videos of two samples are mixed."""
+    cfg = ScanConfig(percent=85.5, duration_percent=1.0, scan_whole_catalog=True, sample_count=2)
     media, frames = vector_media(spark, sf, False)
-    media = media.withColumn("exists", F.lit(True)).withColumn("size", F.col("file_id") * 1000)
-    snap = SC.compare_snapshot(media, frames, cfg)
-    # each file with the next one
+    image = F.col("file_id") % 4 == 0
+    media = media.withColumn("is_image", image).withColumn("path", F.concat("path", F.when(image, ".jpg").otherwise(".mp4"))).withColumn(
+        "exists", F.lit(True)).withColumn("size", F.col("file_id") * 1000)
+    second = frames.where("file_id % 4 <> 0").withColumn("pos", F.lit(1))
+    snap = SC.compare_snapshot(media, frames.unionByName(second), cfg)
     pairs = media.select(F.col("file_id").alias("a"), (F.col("file_id") + 1).alias("b")).join(
         media.select(F.col("file_id").alias("b")), "b", "left_semi").select("a", "b")
-    return diagnostics.explain_pairs(pairs, media, snap, cfg)
+    out = diagnostics.explain_pairs(pairs, media, snap, cfg)
+    return out.withColumn("similarity", F.round(F.col("similarity").cast("double"), 5))
 
 
-query()(pair_explanations)
+@query(f"""WITH e AS MATERIALIZED (SELECT *, list_sum(list_transform(q, lambda x: CASE WHEN x <= 32 THEN 1 ELSE 0 END)) >= 0.8 * 64 AS dark FROM {_E}),
+ p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) / 16129.0 AS c
+  FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE a.vec_id % 3 <> 0 AND b.vec_id % 3 <> 0 AND NOT a.dark AND NOT b.dark)
+SELECT a, b, round(c, 5) AS similarity FROM p WHERE c >= 0.35""")
+def embedding_pairs_with_missing_vectors(spark, sf):
+    """A third of the files has no vector, others lack one of three positions; two of three are enough."""
+    cfg = ScanConfig(percent=99.9, use_ai=True, ai_percent=35.0, sample_count=3)
+    media, frames = vector_media(spark, sf, False)
+    third = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    frames = frames.drop("pos").withColumn("pos", third)
+    vecs = embeddings(spark, sf).where("vec_id % 3 <> 0").select(F.col("vec_id").alias("file_id"), third.alias("pos"), V.quantize_unit("embedding").alias("vec"))
+    vecs = vecs.where("file_id % 5 <> 0 or pos <> 1")
+    reps, _ = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg, vecs), cfg)
+    return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.round(F.lit(1.0) - F.col("diff").cast("double"), 5).alias("similarity"))
 
 
 @query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(CAST(x AS DOUBLE) * 127, 0))) AS INT)), ',') AS quantised
@@ -223,12 +247,12 @@ def dense_intervals(spark, sf):
 
 # --- clustering on given relations --------------------------------------------------------------------------------
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS u, 'p' || CAST(l_partkey AS VARCHAR) AS v FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
- s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(n, m) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, r.m FROM r JOIN s ON s.u = r.n)
-SELECT n AS node, min(m) AS component FROM r GROUP BY n""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS u, 'p' || CAST(l_partkey AS VARCHAR) AS v FROM lineitem),
+ s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(n, m) USING KEY (n) AS (SELECT DISTINCT u, u FROM s UNION
+  SELECT s.v, min(r.m) FROM r JOIN s ON s.u = r.n JOIN recurring.r AS o ON o.n = s.v WHERE r.m < o.m GROUP BY s.v)
+SELECT n AS node, m AS component FROM r""")
 def linked_components(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09").selectExpr(
-        "concat('s', l_suppkey) as a", "concat('p', l_partkey) as b").distinct()
+    e = table(spark, sf, "lineitem").selectExpr("concat('s', l_suppkey) as a", "concat('p', l_partkey) as b").distinct()
     return G.connected_components(e)
 
 

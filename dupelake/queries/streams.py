@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -68,7 +68,7 @@ def _stream(spark, sf, name):
 def _folder(spark) -> str:
     """A fresh folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return spark.sparkContext.getCheckpointDir() + "/stream-" + next(tempfile._get_candidate_names())
+    return spark.sparkContext.getCheckpointDir() + "/stream-" + uuid.uuid4().hex
 
 
 @query(f"""SELECT volume, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes, count(*) FILTER (done) AS done_files,
