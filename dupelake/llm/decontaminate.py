@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_ROWS, materialise, without
+from .common import BROADCAST_ROWS, materialise, small_side, without
 
 #: Five of eight positions each; any two masks share at most three positions.
 MASKS = ("11100101", "11010011", "10111100")
@@ -35,7 +35,7 @@ def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...], admit=None)
     span = max(map(len, masks))
     n = F.size("toks")
     shifted = [F.slice("toks", F.lit(j + 1), F.greatest(n - span + 1, F.lit(0))).alias(f"t{j}") for j in range(span)]
-    zipped = rows.where(n >= span).select(*keep, F.arrays_zip(*shifted).alias("win"))
+    zipped = rows.select(*keep, F.arrays_zip(*shifted).alias("win"))
     at = zipped.select(*keep, F.posexplode("win").alias("pos", "w"))
     seeds = [F.xxhash64(F.lit(m), *[F.col("w")[f"t{j}"] for j, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(masks)]
     at = at.select(*keep, "pos", *[s.alias(f"s{m}") for m, s in enumerate(seeds)])
@@ -75,11 +75,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     seeds = materialise(_seeds(items, ["item_id", "item_key", "item_n"], masks).withColumnRenamed("pos", "item_pos"))
     few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", tokens(F.col("text")).alias("toks"))
-    hits = _seeds(texts, ["doc_id", "toks"], masks, _bitmap_test(seeds)).join(F.broadcast(seeds) if few else seeds, "seed")
-    shift = F.col("pos") - F.col("item_pos")
-    found = hits.select(
-        "doc_id", "item_id", "item_key", shift.alias("shift"),
-        F.slice("toks", F.greatest(shift, F.lit(0)) + 1, F.col("item_n") + F.least(shift, F.lit(0))).alias("seen")).distinct()
+    hits = _seeds(texts, ["doc_id"], masks, _bitmap_test(seeds)).join(F.broadcast(seeds) if few else seeds, "seed")
+    hits = materialise(hits.select("doc_id", "item_id", "item_key", "item_n", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
+    # the tokens of documents with hits cross an exchange, so that they are cut once per document and not once per hit
+    again = texts.join(small_side(hits.select("doc_id").distinct()), "doc_id", "left_semi").distinct()
+    found = again.join(hits.hint("shuffle_merge"), "doc_id").select(
+        "doc_id", "item_id", "item_key", "shift",
+        F.slice("toks", F.greatest("shift", F.lit(0)) + 1, F.col("item_n") + F.least("shift", F.lit(0))).alias("seen"))
     item_side = items.select("item_id", "item_key", F.col("toks").alias("item_toks"))
     pairs = found.join(F.broadcast(item_side) if few else item_side, ["item_id", "item_key"])
     skip = F.greatest(-F.col("shift"), F.lit(0))
