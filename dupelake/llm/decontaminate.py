@@ -33,8 +33,9 @@ def tokens(text: Column) -> Column:
 def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...], admit=None) -> DataFrame:
     """One row per token position and mask: ``keep``, pos (from 0), seed. ``admit`` maps a seed to whether it is wanted."""
     span = max(map(len, masks))
-    n = F.size("toks")
-    shifted = [F.slice("toks", F.lit(j + 1), F.greatest(n - span + 1, F.lit(0))).alias(f"t{j}") for j in range(span)]
+    # windows of token hashes: an array of structs of longs is several times cheaper to lay out in rows than one of strings
+    rows = rows.select(*keep, F.transform("toks", lambda t: F.xxhash64(t)).alias("hs"))
+    shifted = [F.slice("hs", F.lit(j + 1), F.greatest(F.size("hs") - span + 1, F.lit(0))).alias(f"t{j}") for j in range(span)]
     zipped = rows.select(*keep, F.arrays_zip(*shifted).alias("win"))
     at = zipped.select(*keep, F.posexplode("win").alias("pos", "w"))
     seeds = [F.xxhash64(F.lit(m), *[F.col("w")[f"t{j}"] for j, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(masks)]
