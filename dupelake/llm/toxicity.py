@@ -7,7 +7,7 @@
 3. Label model: expectation maximisation over the counted patterns estimates each voter's accuracy per class; voters that agree
    more than the classes explain are correlated and share their weight.
 4. Classifier: a logistic regression over hit counts, rates and text statistics is trained on the posterior labels of the
-   training sample; it scores every whole text.
+   training sample, and its scores are calibrated on the labels of that sample; it scores every whole text.
 
 Defined cases: null and empty texts are scored from zero features; a table without labels falls back to the insult list with
 the prior ``base_rate``; rows with a null id are scored and never train; repeated rows get equal scores; an empty table gives
@@ -30,29 +30,33 @@ from .common import crc_fold
 #: Plain insults (fixed values).
 INSULTS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile",
            "filth", "vermin", "garbage", "jerk", "fool", "hate", "kill", "shut up", "ugly", "freak", "creep", "pig", "bastard")
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 #: Labelled training rows read at most, and lexicon entries kept at most.
 SAMPLE_ROWS, MOST_ENTRIES = 20_000, 1_500
 THRESHOLD = 0.7
-PARTS = 4
+#: An entry needs this share of the toxic training rows (five at least), and this share of its rows toxic.
+LEAST_SHARE, PRECISION = 0.006, 0.85
 
 
 @dataclass
 class Lexicon:
-    """Entry -> (part, weight); an entry ending in * is a word beginning."""
+    """Learned words and word beginnings with their log odds, and the insults."""
 
-    entries: dict[str, tuple[int, float]]
+    words: dict[str, float]
+    beginnings: dict[str, float]
     base_rate: float = 0.1
-    starts: frozenset[str] = frozenset()  # the first four characters of every entry
+    insults: frozenset[str] = frozenset(INSULTS)
+    starts: frozenset[str] = frozenset()  # the first characters of every entry
 
     def __post_init__(self):
-        self.starts = frozenset(e.rstrip("*")[:4] for e in self.entries)
+        self.starts = frozenset(e[:4] for e in (*self.words, *self.beginnings, *self.insults))
 
-    def find(self, word: str) -> tuple[int, float] | None:
-        if word[:4] not in self.starts:
-            return None
-        e = self.entries
-        return e.get(word) or e.get(word[:4] + "*") or e.get(word[:5] + "*") or e.get(word[:6] + "*")
+    def find(self, word: str) -> tuple[bool, bool, bool, float]:
+        """Hits among words, beginnings and insults, and the largest log odds."""
+        odds = [self.beginnings[word[:n]] for n in BEGINNINGS if word[:n] in self.beginnings]
+        as_word = self.words.get(word)
+        insult = word in self.insults
+        return as_word is not None, bool(odds), insult, max([as_word or 0.0, *odds, 1.0 if insult else 0.0])
 
 
 #: Marks at the ends of a word.
@@ -97,7 +101,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, admitted, sa
     return rows.select("text", F.col("__y").alias("y")).where(F.col("text").isNotNull())
 
 
-def learn_lexicon(sample: DataFrame, most: int = MOST_ENTRIES, least_docs: int = 4, precision: float = 0.75) -> Lexicon:
+def learn_lexicon(sample: DataFrame, most: int = MOST_ENTRIES, least_share: float = LEAST_SHARE, precision: float = PRECISION) -> Lexicon:
     """Entries with the strongest smoothed log odds for the toxic class."""
     rows = StructType([StructField("gram", StringType()), StructField("y", IntegerType())])
 
@@ -110,38 +114,34 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_ENTRIES, least_docs: int =
     counted = (sample.mapInArrow(_as_arrow(fn, rows), rows).groupBy("gram")
                .agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n")))
     odds = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("n") + 0.5) / (neg + 1.0))
-    best = (counted.where((F.col("p") >= least_docs) & (F.col("p") >= precision * (F.col("p") + F.col("n"))))
+    best = (counted.where((F.col("p") >= max(5, least_share * pos)) & (F.col("p") >= precision * (F.col("p") + F.col("n"))))
             .select("gram", odds.alias("w")).orderBy(F.desc("w"), "gram").limit(most).collect())
-    entries = {}
-    for i, r in enumerate(sorted(best, key=lambda r: r["gram"])):
-        if not (r["gram"].endswith("*") and r["gram"][:-1] in entries):
-            entries[r["gram"]] = (i % PARTS, float(r["w"]))
-    for w in INSULTS:
-        entries.setdefault(w, (PARTS, 1.0))
     rate = totals.get(1, 0) / max(1, sum(totals.values())) if totals else 0.1
-    return Lexicon(entries, min(0.5, max(0.02, rate)))
+    return Lexicon({r["gram"]: float(r["w"]) for r in best if not r["gram"].endswith("*")},
+                   {r["gram"][:-1]: float(r["w"]) for r in best if r["gram"].endswith("*")}, min(0.5, max(0.02, rate)))
 
 
-#: hits of each part and of the insults, distinct hits, weight, words, then the shares used by the patterns
-N_VOTERS = PARTS + 3
+N_VOTERS = 6
 
 
 def measure(text: str | None, lex: Lexicon) -> tuple[np.ndarray, tuple[int, ...]]:
     """(features, votes) of one text."""
-    hits, kinds, weight, words = [0.0] * (PARTS + 1), set(), 0.0, 0
-    starts = lex.starts
-    for w, n in word_counts(text).items():
-        words += n
+    hits, kinds, weight, n = [0, 0, 0], 0, 0.0, 0
+    total, starts = 0, lex.starts
+    for w, times in word_counts(text).items():
+        n += times
         w = w.strip(_MARKS)
-        if w[:4] in starts and (found := lex.find(w)):
-            hits[found[0]] += n
-            kinds.add(w)
-            weight += found[1]
-    total, n = sum(hits), max(1, words)
-    rate = total / n
-    x = np.array([*np.log1p(hits), np.log1p(total), np.log1p(len(kinds)), min(weight, 60.0) / 10, min(1.0, 20 * rate), 1.0 if total else 0.0,
-                  1.0 if len(kinds) > 1 else 0.0, np.log1p(n) / 10])
-    votes = (*(1 if h else 0 for h in hits), 1 if len(kinds) > 1 else (-1 if not total else 0), 1 if rate > 0.004 else (-1 if rate < 0.0005 else 0))
+        if w[:4] in starts:
+            *found, odds = lex.find(w)
+            if any(found):
+                hits = [h + times * f for h, f in zip(hits, found)]
+                total += times
+                kinds += 1
+                weight += odds
+    rate = total / max(1, n)
+    x = np.array([*np.log1p(hits), np.log1p(total), np.log1p(kinds), min(weight, 60.0) / 10, min(1.0, 20 * rate), *(1.0 if h else 0.0 for h in hits),
+                  1.0 if total else 0.0, 1.0 if kinds > 1 else 0.0, np.log1p(n) / 10])
+    votes = (*(1 if h else 0 for h in hits), 1 if kinds > 1 else 0, 1 if total else -1, 1 if rate > 0.002 else (-1 if rate < 0.0005 else 0))
     return x, votes
 
 
@@ -202,6 +202,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 5
     return mean, scale, w
 
 
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising step function of the score that fits the labels best, as ends of its steps and their rates."""
+    at, inverse, n = np.unique(score, return_inverse=True, return_counts=True)
+    hits = np.bincount(inverse, y)
+    steps: list[list[float]] = []  # first score, last score, rows, hits
+    for s, m, h in zip(at, n, hits):
+        steps.append([s, s, m, h])
+        while len(steps) > 1 and steps[-2][3] * steps[-1][2] >= steps[-1][3] * steps[-2][2]:
+            _, last, m2, h2 = steps.pop()
+            steps[-1][1:] = [last, steps[-1][2] + m2, steps[-1][3] + h2]
+    rates = [(h + 0.5 * y.mean()) / (m + 0.5) for _, _, m, h in steps]
+    return np.array([e for s in steps for e in s[:2]]), np.maximum.accumulate(np.repeat(rates, 2))
+
+
 @dataclass
 class ToxicityModel:
     lexicon: Lexicon
@@ -210,10 +224,17 @@ class ToxicityModel:
     scale: np.ndarray
     weights: np.ndarray
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    knots: tuple[np.ndarray, np.ndarray] | None = None
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
         z = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        raw = self.raw(x)
+        # a trace of the raw score keeps the order inside a step
+        return raw if self.knots is None else 0.99 * np.interp(raw, *self.knots) + 0.01 * raw
+
 
 def fit(docs: DataFrame, labels: DataFrame, admitted, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """``admitted`` maps a doc_id column to the condition under which a labelled row may be learnt from."""
@@ -227,19 +248,26 @@ def fit(docs: DataFrame, labels: DataFrame, admitted, sample_rows: int = SAMPLE_
     patterns = docs.select("text").mapInArrow(_as_arrow(vote, kind), kind).groupBy("votes").agg(F.count("*").alias("n")).collect()
     votes = np.array([[int(v) for v in r["votes"].split(",")] for r in patterns] or [[0] * N_VOTERS])
     model = fit_label_model(votes, np.array([float(r["n"]) for r in patterns] or [1.0]), lex.base_rate)
-    row = StructType([StructField("x", ArrayType(DoubleType())), StructField("p", DoubleType())])
+    row = StructType([StructField("x", ArrayType(DoubleType())), StructField("p", DoubleType()), StructField("y", IntegerType())])
 
-    def soft(texts, _):
+    def soft(texts, ys):
         got = [measure(t, lex) for t in texts]
-        return [list(x) for x, _ in got], [float(p) for p in model.posterior(np.array([v for _, v in got]))] if got else []
+        return [list(x) for x, _ in got], [float(p) for p in model.posterior(np.array([v for _, v in got]))] if got else [], ys
 
     rows = sample.mapInArrow(_as_arrow(soft, row), row).collect()  # at most sample_rows short vectors
     if rows:
-        x, y = np.array([r["x"] for r in rows]), np.array([r["p"] for r in rows])
+        x, p, y = np.array([r["x"] for r in rows]), np.array([r["p"] for r in rows]), np.array([float(r["y"]) for r in rows])
+        order = np.lexsort((y, p, *x.T))  # the same model whatever order the rows arrive in
+        x, p, y = x[order], p[order], y[order]
     else:
         got = [measure(" ".join(INSULTS[:i]), lex) for i in range(4)]
-        x, y = np.array([g[0] for g in got]), model.posterior(np.array([g[1] for g in got]))
-    return ToxicityModel(lex, model, *fit_logistic(x, y))
+        x, y = np.array([g[0] for g in got]), None
+        p = model.posterior(np.array([g[1] for g in got]))
+    out = ToxicityModel(lex, model, *fit_logistic(x, p))
+    if y is not None and 0 < y.mean() < 1:
+        # correlated voters leave the posterior right in order but shy in size
+        out.knots = isotonic(out.raw(x), y)
+    return out
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
