@@ -157,14 +157,23 @@ def folder_merge_keep_best(spark, sf):
     return _merge(spark, sf, "best")
 
 
+@query(f"""WITH {_S}, {_PAIRS}, {_COVER}, d AS (SELECT *, CASE WHEN (va >= 90) <> (vb >= 90) THEN NOT (va >= 90) WHEN NOT (va >= 90) AND NOT (vb >= 90) AND abs(va - vb) > 0.0001 THEN va > vb
+  WHEN ra <> rb THEN ra > rb WHEN ta <> tb THEN ta > tb ELSE suggest_a END AS to_a FROM dr WHERE least(va, vb) + 0.0001 >= 4),
+ c AS (SELECT CASE WHEN to_a THEN folder_a ELSE folder_b END AS target_folder, CASE WHEN to_a THEN folder_b ELSE folder_a END AS source_folder, CASE WHEN to_a THEN vb ELSE va END AS cov,
+  m.group_id, m.auto_review OR m.winner IS NULL AS manual, m.winner, rw.path, (rw.in_a <> to_a) AS in_source FROM d JOIN m USING (folder_a, folder_b) JOIN rw USING (folder_a, folder_b, group_id)),
+ w AS (SELECT target_folder, source_folder FROM c GROUP BY 1, 2 HAVING count(*) FILTER (manual) = 0 AND max(cov) + 0.0001 >= 90)
+SELECT target_folder, source_folder, group_id, path, CASE WHEN manual THEN 'review' WHEN path = winner THEN 'keep' ELSE 'remove' END AS action, NOT manual AND path = winner AND in_source AS move FROM c
+UNION ALL SELECT w.target_folder, w.source_folder, NULL, s.path, 'bring', true FROM w JOIN s ON lower(s.folder) = lower(w.source_folder)
+ WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.in_source AND c.path = s.path AND c.target_folder = w.target_folder AND c.source_folder = w.source_folder)""")
 def folder_pair_consolidation(spark, sf):
+    """The plan rows of every directed pair, and the files that a whole source brings along."""
     it, matches, pairs = _relations(spark, sf)
     rel = FO.directed_relations(FO.rank_folder_pairs(pairs), 4.0)
-    rows, _ = FO.pair_consolidation(FO.pair_candidates(rel, matches, it), it)
-    return rows
-
-
-query()(folder_pair_consolidation)
+    rows, unique = FO.pair_consolidation(FO.pair_candidates(rel, matches, it), it)
+    names = rel.select("pair_rank", "target_folder", "source_folder")
+    more = unique.join(names, "pair_rank").select("target_folder", "source_folder", F.lit(None).cast("string").alias("group_id"), "path",
+                                                  F.lit("bring").alias("action"), F.lit(True).alias("move"))
+    return rows.select("target_folder", "source_folder", "group_id", "path", "action", "move").unionByName(more)
 
 
 def series_consolidation(spark, sf):

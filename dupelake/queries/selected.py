@@ -205,14 +205,16 @@ def rule_assistant(spark, sf):
     return K.rule_assistant(items(spark, sf), _RULES).select(*OUT, "tie_break")
 
 
-def rule_assistant_summary(spark, sf):
-    return K.rule_assistant_summary(K.rule_assistant(items(spark, sf), [K.Rule("non_best"), *_RULES], rules_only=True, best_criteria=[]))
-
-
-query()(rule_assistant_summary)
+_BEST = [STEPS[n] for n in STEPS if n != "Size"]
 
 
-_BEST = [STEPS[n] for n in STEPS if n != "Size"]
+@query(keeper_sql(I, _BEST) + f""", l AS (SELECT *, CASE WHEN path = keep_ THEN 0 ELSE 1 END AS r0, {_LOSS}, count(*) OVER (PARTITION BY group_id) AS n FROM s{len(_BEST)}),
+ k AS (SELECT *, first_value({{'r': [r0, r1, r2, r3, r4], 'p': path}}) OVER (PARTITION BY group_id ORDER BY r0, r1, r2, r3, r4, lower(path), path) AS f FROM l WHERE n > 1),
+ m AS (SELECT group_id, size, [r0, r1, r2, r3, r4] <> f.r AS gone FROM k), g AS (SELECT group_id, count(*) FILTER (gone) AS marks, sum(CASE WHEN gone THEN greatest(size, 0) ELSE 0 END) AS bytes FROM m GROUP BY 1)
+SELECT count(*) AS processed_groups, count(*) FILTER (marks > 0) AS groups_with_marks, 0 AS tied_groups, 0 AS tie_break_selections, CAST(sum(marks) AS BIGINT) AS selected,
+ CAST(sum(bytes) AS BIGINT) AS selected_bytes FROM g""")
+def rule_assistant_summary(spark, sf):
+    return K.rule_assistant_summary(K.rule_assistant(items(spark, sf), [K.Rule("non_best"), *_RULES], rules_only=True, best_criteria=[]))
 
 
 @query(keeper_sql(I, _BEST) + f"""\nSELECT s.group_id, s.path FROM s{len(_BEST)} s WHERE s.path <> s.keep_ AND contains(lower(s.path), '.mp4')
