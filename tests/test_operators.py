@@ -143,3 +143,48 @@ def test_weighted_scores_by_sorting_equal_arrays(spark):
     a = {r.path: r.score for r in R._scores_in_arrays(it, "group_id", "path").collect()}
     b = {r.path: r.score for r in R._scores_by_sorting(it, "group_id", "path").collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_score_pairs_of_mixed_types_and_missing_vectors(spark):
+    import numpy as np
+
+    from dupelake.config import ScanConfig
+    from dupelake.operators.scoring import compare_snapshot, matching_pairs, score_pairs
+
+    rng = np.random.default_rng(1)
+    frame = lambda: bytes(rng.integers(60, 200, 1024, dtype=np.uint8))
+    shot = [frame() for _ in range(6)]
+    media = spark.createDataFrame([(i, f"/m/{i}", i % 3 == 0, 60.0) for i in range(6)], "file_id long, path string, is_image boolean, duration_s double")
+    frames = [(i, p, 0.0, shot[i % 2] if i < 4 else shot[i], None, False) for i in range(6) for p in range(1 if i % 3 == 0 else 2)]
+    frames.append(frames[1])  # a doubled position
+    frames = spark.createDataFrame(frames, "file_id long, pos int, sec double, gray binary, phash long, dark boolean")
+    vec = [int(v) for v in rng.integers(-127, 127, 16)]
+    vecs = spark.createDataFrame([(i, p, vec) for i in (4, 5) for p in range(2)], "file_id long, pos int, vec array<tinyint>")
+    cfg = ScanConfig(sample_count=2, percent=99.0, use_ai=True, ai_percent=1.0)
+    snap = compare_snapshot(media, frames, cfg, vecs)
+    assert snap.count() == 6
+    pairs = spark.createDataFrame([(0, 1), (1, 3), (1, 2), (4, 5), (2, 5)], "a long, b long")
+    got = {(r.a, r.b): r.matched for r in score_pairs(pairs, snap, cfg).collect()}
+    assert got[0, 1] is False and got[1, 3] is False and len(got) == 5
+    assert got[2, 5] is False  # no vectors on one side
+    assert {(r.a, r.b) for r in matching_pairs(snap.withColumn("copies", F.lit(1)), cfg).collect()} <= {(0, 3), (4, 5), (1, 2), (1, 4), (2, 4), (1, 5)}
+
+
+def test_quarantine_takes_the_latest_attempt(spark):
+    from dupelake.operators.relocate import quarantine
+
+    catalog = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 0)], "path string, flags int")
+    events = spark.createDataFrame([
+        (1, "sampling", "a", "begin"), (2, "sampling", "a", "end"), (3, "sampling", "a", "begin"), (1, "audio", "b", "begin"), (2, "audio", "b", "end"),
+        (5, "audio", "c", "begin"), (5, "audio", "c", "end")], "ts int, phase string, path string, event string")
+    assert {r.path: r.flags for r in quarantine(catalog, events).collect()} == {"a": 4, "b": 0, "c": 1 | 64, "d": 0}
+
+
+def test_short_tracks_keep_an_empty_fingerprint(spark):
+    from dupelake.operators.features import audio_fingerprint, fingerprint_status
+
+    pcm = spark.createDataFrame([(1, 0, [100] * 3000), (2, 0, [0] * 30_000)], "file_id long, chunk long, samples array<smallint>")
+    words = audio_fingerprint(pcm)
+    assert {r.file_id: len(r.words) > 0 for r in words.collect()} == {1: False, 2: True}
+    media = spark.createDataFrame([(1, 0), (2, 0)], "file_id long, flags int")
+    assert {r.file_id: r.flags for r in fingerprint_status(media, words).collect()} == {1: 32, 2: 128}
