@@ -32,8 +32,11 @@ WORDS, PERCENT = 5, 80
 #: The share of n-grams that is ordered by count, as a multiple of the share that prefixes need.
 SPARE = 1.25
 
+#: Counts of n-grams in 64 cells of the hash range, eight to a long.
+CELLS = tuple(f"c{i}" for i in range(8))
+
 _SETS = StructType([*(StructField(c, LongType()) for c in ("doc_id", "node")), StructField("n", IntegerType()), StructField("n_first", IntegerType()),
-                    StructField("c0", LongType()), StructField("c1", LongType())])
+                    *(StructField(c, LongType()) for c in CELLS)])
 _GRAMS = StructType([StructField("node", LongType()), StructField("gram", LongType()), StructField("late", IntegerType())])
 _WHOLE = StructType([StructField("node", LongType()), StructField("grams", ArrayType(LongType()))])
 
@@ -75,11 +78,11 @@ def document_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
         for batch in batches:
             for ids, n, owner, gram, key in _sets(batch.column(0), batch.column(1), k):
                 first = np.bincount(owner[_is_first(gram, percent)], minlength=len(n))
-                cells = np.bincount(owner * 16 + (gram >> np.uint64(60)).astype(np.int64), minlength=16 * len(n)).astype(np.uint8).reshape(-1, 2, 8)
+                cells = np.bincount(owner * 64 + (gram >> np.uint64(58)).astype(np.int64), minlength=64 * len(n)).astype(np.uint8).reshape(-1, 8, 8)
                 packed = np.ascontiguousarray(cells).view("<i8")[:, :, 0]
                 yield pa.RecordBatch.from_arrays([
                     ids.cast(pa.int64()), pa.array(key, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(first.astype(np.int32)),
-                    pa.array(packed[:, 0]), pa.array(packed[:, 1])], names=_SETS.names)
+                    *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(8))], names=_SETS.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
@@ -130,12 +133,12 @@ def _prefixes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFra
     shared = grams.join(df, "gram")
     rank = F.struct((F.col("late") >= 0).alias("tier"), F.when(F.col("late") < 0, F.col("df")).otherwise(F.col("late")).alias("w"), "gram")
     listed = shared.groupBy("node").agg(F.sort_array(F.collect_set(rank)).alias("own"))
-    classes = sets.where("n > 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "n_first", "c0", "c1")])
-    rows = listed.join(classes, "node").select("node", "n", "n_first", "c0", "c1", F.size(F.filter("own", lambda x: ~x["tier"])).alias("n_own"), F.posexplode("own").alias("i", "g"))
+    classes = sets.where("n > 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "n_first", *CELLS)])
+    rows = listed.join(classes, "node").select("node", "n", "n_first", *CELLS, F.size(F.filter("own", lambda x: ~x["tier"])).alias("n_own"), F.posexplode("own").alias("i", "g"))
     # n-grams that only one document has come before all shared ones
     pos = F.when(F.col("g.tier"), F.col("n_first") + F.col("g.w")).otherwise(F.col("n_first") - F.col("n_own") + F.col("i"))
     last = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
-    return rows.select(F.col("g.gram").alias("gram"), "node", pos.cast("int").alias("pos"), "n", "c0", "c1").where(F.col("pos") <= last)
+    return rows.select(F.col("g.gram").alias("gram"), "node", pos.cast("int").alias("pos"), "n", *CELLS).where(F.col("pos") <= last)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -146,7 +149,7 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     length = (n * 100 >= m * percent) & (m * 100 >= n * percent)
     position = F.least(n - c(x, "pos"), m - c(y, "pos")) >= need
     diff = F.lit(0)
-    for word in ("c0", "c1"):
+    for word in CELLS:
         for i in range(8):
             byte = lambda s: F.shiftrightunsigned(c(s, word), 8 * i).bitwiseAND(255)  # noqa: B023, E731
             d = F.abs(byte(x) - byte(y))
@@ -191,7 +194,7 @@ def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialise(document_sets(docs, k, percent))
     prefixes = materialise(_prefixes(docs, sets, k, percent))
-    hub = (prefixes.groupBy("gram").agg(F.min(F.struct("pos", "n", "node", "c0", "c1")).alias("h"), F.count("*").alias("rows"))
+    hub = (prefixes.groupBy("gram").agg(F.min(F.struct("pos", "n", "node", *CELLS)).alias("h"), F.count("*").alias("rows"))
            .where("rows > 1").select("gram", "h.*"))
     meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent)
     stars = prefixes.alias("x").join(hub.alias("y"), meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
