@@ -52,7 +52,7 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _parts(texts: list[str | None], most: int = 1 << 20):
+def _parts(texts: list[str | None], most: int = 1 << 18):
     """Runs [a, b) of texts of about ``most`` characters together."""
     a, n = 0, 0
     for i, t in enumerate(texts):
