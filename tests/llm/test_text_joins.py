@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -204,6 +205,33 @@ def test_decontamination_twin(spark):
     assert keyed(tuple(r) for r in got.select("doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal").collect()) == keyed(want)
 
 
+def test_decontamination_of_short_items(spark):
+    r = random.Random(5)
+    items = [(n, " ".join(r.choice("abcdefghijklmnop") + str(n) for _ in range(n))) for n in range(1, 15)] + [(20, ""), (21, "x y")]
+    rows = [(1000, "x y"), (1001, "x"), (1002, "z x y")]
+    for n, b in items[:14]:
+        w, toks = min(13, n), b.split()
+        faults = w - -(-8 * w // 10)
+        for out in itertools.combinations(range(w), faults):
+            got = ["?%d" % i if i in out else t for i, t in enumerate(toks)]
+            got = [t.replace("?", "new") for t in got]
+            rows.append((len(rows), " ".join((["pre"] if len(rows) % 2 else []) + got + (["post"] if len(rows) % 3 else []))))
+        rows.append((len(rows), " ".join("new" if i <= faults else t for i, t in enumerate(toks[:w]))))
+    want = set()
+    for d, t in rows:
+        for i, b in items:
+            dt, bt = t.split(), b.split()
+            w = min(13, len(bt))
+            for s in range(-len(bt) + 1, len(dt)):  # every diagonal, without seeds
+                eq = [dt[q + s] == bt[q] for q in range(len(bt)) if 0 <= q + s < len(dt)]
+                if w and len(eq) >= w and any(sum(eq[x:x + w]) >= 0.8 * w - 1e-9 for x in range(len(eq) - w + 1)):
+                    want.add((d, i, max(s, 0), max(-s, 0), len(eq), sum(eq)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.overlaps(frame(spark, rows), bench).collect()]
+    assert keyed(got) == keyed(want) and {i for _, i, *_ in want} == {*range(1, 15), 21}
+    assert [decontaminate.masks_of(n) == decontaminate.MASKS for n in range(1, 14)] == [n in (9, 12, 13) for n in range(1, 14)]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_merged_transforms(seed):
     r = random.Random(seed)
