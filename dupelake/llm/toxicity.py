@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 1. Lexicon: words and word beginnings whose document frequency among labelled training rows speaks for the toxic class, with a
-   short list of plain insults besides. Only rows that ``training`` admits are read for this, at most ``sample_rows`` of them.
-2. Voters: every text gets one vote (1, 0 abstains, -1) of each lexicon part and pattern; vote patterns are counted over ALL
-   documents, which leaves at most 3 to the number of voters rows.
+   lists of plain insults, contempt, threats and phrases besides; scripts without blanks give pairs and triples of characters. Only rows that ``training`` admits are read for this, at most ``sample_rows`` of them.
+2. Voters: every text gets one vote (1, 0 abstains, -1) of each lexicon and pattern. Patterns read the whole text: phrases, entries
+   with swapped signs, marks or blanks between their letters or with letters repeated, entries inside words run together,
+   shouting, rows of marks and address. Vote patterns are counted over ALL documents, which leaves at most 2 to the 12 times 9 rows.
 3. Label model: expectation maximisation over the counted patterns estimates each voter's accuracy per class; voters that agree
    more than the classes explain are correlated and share their weight.
 4. Classifier: a logistic regression over hit counts, rates and text statistics is trained on the posterior labels of the
@@ -16,6 +17,7 @@ no rows; further columns are kept out of the score.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +29,14 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from .common import crc_fold
 
-#: Plain insults (fixed values).
-INSULTS = ("idiot", "moron", "stupid", "loser", "trash", "scum", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile",
-           "filth", "vermin", "garbage", "jerk", "fool", "hate", "kill", "shut up", "ugly", "freak", "creep", "pig", "bastard")
+#: Separate lexicons of plain words, and phrases (fixed values).
+INSULTS = ("idiot", "moron", "stupid", "loser", "clown", "dumb", "imbecile", "jerk", "fool", "freak", "creep", "pig", "bastard")
+CONTEMPT = ("trash", "scum", "pathetic", "worthless", "disgusting", "filth", "vermin", "garbage", "ugly")
+THREATS = ("hate", "kill")
+PHRASES = ("shut up", "go to hell", "drop dead", "piece of trash", "piece of garbage", "nobody likes you", "waste of space", "i hate you", "kill yourself",
+           "kill you")
+#: Words of address.
+ADDRESS = frozenset("you your yours yourself yourselves you're youre u ur".split())
 BEGINNINGS = (4, 5, 6, 7)
 #: Labelled training rows read at most, and lexicon entries kept at most.
 SAMPLE_ROWS, MOST_ENTRIES = 20_000, 1_500
@@ -45,24 +52,84 @@ class Lexicon:
     words: dict[str, float]
     beginnings: dict[str, float]
     base_rate: float = 0.1
-    insults: frozenset[str] = frozenset(INSULTS)
     starts: frozenset[str] = frozenset()  # the first characters of every entry
+    joined: re.Pattern | None = None  # entries that are looked for inside long runs of letters
 
     def __post_init__(self):
-        self.starts = frozenset(e[:4] for e in (*self.words, *self.beginnings, *self.insults))
+        plain = {*self.words, *FIXED}
+        self.starts = frozenset(e[:4] for e in (*plain, *self.beginnings))
+        self.joined = re.compile("|".join(re.escape(e) for e in sorted((e for e in plain if len(e) >= 5), key=lambda e: (-len(e), e))))
 
-    def find(self, word: str) -> tuple[bool, bool, bool, float]:
-        """Hits among words, beginnings and insults, and the largest log odds."""
+    def find(self, word: str) -> tuple[list[bool], float]:
+        """Hits among words, beginnings and the fixed lexicons, and the largest log odds."""
         odds = [self.beginnings[word[:n]] for n in BEGINNINGS if word[:n] in self.beginnings]
-        as_word = self.words.get(word)
-        insult = word in self.insults
-        return as_word is not None, bool(odds), insult, max([as_word or 0.0, *odds, 1.0 if insult else 0.0])
+        as_word, kind = self.words.get(word), FIXED.get(word, -1)
+        return [as_word is not None, bool(odds), *(kind == i for i in range(N_FIXED))], max([as_word or 0.0, *odds, 1.0 if kind >= 0 else 0.0])
 
+    def plain(self, word: str) -> bool:
+        """Whether a word is an entry as it is, not by its beginning."""
+        return word in self.words or word in FIXED
 
+
+#: Word -> number of its fixed lexicon.
+FIXED = {w: i for i, part in enumerate((INSULTS, CONTEMPT, THREATS)) for w in part}
+N_FIXED = 3
 #: Marks at the ends of a word.
 _MARKS = ".,;:!?\"'()[]{}<>|/\\*#$%&@-_=+~`^«»“”„¿¡…0123456789"
 
 
+#: Marks that end a word and stand for no letter, signs that stand for letters, and marks put between letters.
+_ENDS = ".,;:!?\"'()[]{}<>«»“”„¿¡…"
+_SWAP = str.maketrans({"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "|": "l",
+                       **dict.fromkeys(".,;:-_*~'\"`/\\#=^\u00b7\u200b\u200c\u200d\u00ad")})
+_MASKED = re.compile(r"[#$%&*@!]{3,}|[a-z][#$%&*@]{2,}")
+_THRICE = re.compile(r"([^\W\d_])\1\1+")
+_LETTERS = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+_PHRASES = {p: re.compile(rf"(?<!\w){p}(?!\w)") for p in PHRASES}
+#: Scripts that are written without blanks.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]{2,}")
+_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+#: Letters in a row that may be words run together.
+LONG_WORD = 15
+
+
+def unspaced(text: str | None) -> Counter:
+    """Pairs and triples of characters of the scripts without blanks, and their counts."""
+    out: Counter = Counter()
+    if text and not text.isascii():
+        for m in _UNSPACED.finditer(text):
+            run = m[0]
+            out.update(run[i:i + n] for n in (2, 3) for i in range(len(run) - n + 1))
+    return out
+
+
+def disguised(raw: str, lex: "Lexicon") -> str | None:
+    """The entry that a spelling with swapped signs or marks between its letters stands for."""
+    core = raw.strip(_ENDS)
+    if core.isalpha():
+        return None
+    word = core.translate(_SWAP)
+    return word if word != core and lex.plain(word) else None
+
+
+def spread(words: list[str], lex: "Lexicon") -> list[str]:
+    """Entries whose letters stand apart: runs of words of one letter."""
+    out, run = [], ""
+    for w in (*words, "--"):
+        c = w.strip(_ENDS) if len(w) <= 2 else ""
+        if len(c) == 1:
+            run += c
+        elif run:
+            if len(run) > 2:
+                out += _inside(run.translate(_SWAP), lex)
+            run = ""
+    return out
+
+
+def _inside(run: str, lex: "Lexicon") -> list[str]:
+    return [run] if lex.plain(run) else lex.joined.findall(run)
+
+
 def word_counts(text: str | None) -> Counter:
     """Lower-case runs without white space and their counts; marks at the ends are still on."""
     return Counter((text or "").lower().split())
@@ -72,9 +139,10 @@ def grams(text: str | None) -> set[str]:
     """Distinct words and word beginnings of a text."""
     out = {w.strip(_MARKS) for w in word_counts(text)}
     out.discard("")
+    pieces = unspaced(text)
     for n in BEGINNINGS:
         out |= {w[:n] + "*" for w in out if len(w) >= n and w[-1] != "*"}
-    return out
+    return out | set(pieces)
 
 
 def _as_arrow(fn, schema: StructType):
@@ -121,27 +189,82 @@ def learn_lexicon(sample: DataFrame, most: int = MOST_ENTRIES, least_share: floa
                    {r["gram"][:-1]: float(r["w"]) for r in best if r["gram"].endswith("*")}, min(0.5, max(0.02, rate)))
 
 
-N_VOTERS = 6
+#: Voters for evidence: words, beginnings, the fixed lexicons, phrases, disguised and joined words, several kinds, any hit, hit rate;
+#: voters for manner: shouting, rows of marks, address. The label model starts from the evidence.
+N_EVIDENCE = 2 + N_FIXED + 3 + 3
+N_VOTERS = N_EVIDENCE + 3
 
 
 def measure(text: str | None, lex: Lexicon) -> tuple[np.ndarray, tuple[int, ...]]:
     """(features, votes) of one text."""
-    hits, kinds, weight, n = [0, 0, 0], 0, 0.0, 0
+    hits, kinds, weight, n = [0] * (2 + N_FIXED), 0, 0.0, 0
     total, starts = 0, lex.starts
-    for w, times in word_counts(text).items():
+    odd, joined, masked, address, single = 0, 0, 0, 0, 0
+    text = text or ""
+    low = text.lower()
+    seen = low.split()
+
+    def take(word: str, times: int) -> bool:
+        nonlocal hits, total, kinds, weight
+        found, odds = lex.find(word)
+        if not any(found):
+            return False
+        hits = [h + times * f for h, f in zip(hits, found)]
+        total += times
+        kinds += 1
+        weight += odds
+        return True
+
+    thrice = any(c in low for c in _LETTERS)
+    for raw, times in Counter(seen).items():
         n += times
-        w = w.strip(_MARKS)
-        if w[:4] in starts:
-            *found, odds = lex.find(w)
-            if any(found):
-                hits = [h + times * f for h, f in zip(hits, found)]
-                total += times
-                kinds += 1
-                weight += odds
+        w = raw.strip(_MARKS)
+        if w[:4] in starts and take(w, times):
+            continue
+        if w in ADDRESS:
+            address += times
+        if len(w) < 2:
+            single += times
+        if len(w) >= LONG_WORD:
+            for e in set(lex.joined.findall(w)):
+                joined += times
+                take(e, times)
+        if not raw.isalpha() and not raw.strip(_ENDS).isalpha():
+            if word := disguised(raw, lex):
+                odd += times
+                take(word, times)
+            elif _MASKED.search(raw):
+                masked += times
+        elif thrice and _THRICE.search(w):
+            for word in (_THRICE.sub(r"\1", w), _THRICE.sub(r"\1\1", w)):
+                if lex.plain(word):
+                    odd += times
+                    take(word, times)
+                    break
+    if single >= 3:
+        for word in spread(seen, lex):
+            odd += 1
+            take(word, 1)
+    for piece, times in unspaced(text).items():
+        if piece in lex.words:
+            take(piece, times)
+    flat = " ".join(seen)
+    phrases = sum(len(_PHRASES[p].findall(flat)) for p in PHRASES if p in flat)
+    hits[2] += phrases  # an insult of several words
+    total += phrases
+    kinds += min(phrases, 1)
+    weight += phrases
     rate = total / max(1, n)
+    raw_bytes = text.encode("ascii", "ignore")
+    upper, lower = len(raw_bytes) - len(raw_bytes.translate(None, _UPPER)), len(raw_bytes) - len(raw_bytes.translate(None, _LOWER))
+    shouted = upper / (upper + lower) if upper + lower >= 10 else 0.0
+    marks = text.count("!!") + text.count("??") + text.count("?!") + text.count("!?") + masked
+    manner = (1 if shouted > 0.5 else 0, 1 if marks > 0.002 * n else 0, 1 if address > 0.02 * n else 0)
     x = np.array([*np.log1p(hits), np.log1p(total), np.log1p(kinds), min(weight, 60.0) / 10, min(1.0, 20 * rate), *(1.0 if h else 0.0 for h in hits),
-                  1.0 if total else 0.0, 1.0 if kinds > 1 else 0.0, np.log1p(n) / 10])
-    votes = (*(1 if h else 0 for h in hits), 1 if kinds > 1 else 0, 1 if total else -1, 1 if rate > 0.002 else (-1 if rate < 0.0005 else 0))
+                  1.0 if total else 0.0, 1.0 if kinds > 1 else 0.0, np.log1p(n) / 10, np.log1p(phrases), np.log1p(odd), np.log1p(joined), *manner,
+                  shouted, min(1.0, 20 * marks / max(1, n)), min(1.0, 10 * address / max(1, n))])
+    votes = (*(1 if h else 0 for h in (*hits, phrases, odd, joined)), 1 if kinds > 1 else 0, 1 if total else -1,
+             1 if rate > 0.002 else (-1 if rate < 0.0005 else 0), *manner)
     return x, votes
 
 
@@ -163,10 +286,10 @@ class LabelModel:
         return p[:, 1] / p.sum(axis=1)
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
-    """Expectation maximisation over counted vote patterns, started from the balance of votes."""
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60, lead: int | None = None) -> LabelModel:
+    """Expectation maximisation over counted vote patterns, started from the balance of votes of the first ``lead`` voters."""
     n_voters = votes.shape[1]
-    balance = votes.sum(axis=1)
+    balance = votes[:, :lead].sum(axis=1)
     q = np.where(balance > 0, 0.9, np.where(balance < 0, 0.05, prior))
     model = LabelModel(prior, np.full((n_voters, 2, 3), 1 / 3), np.ones(n_voters), np.eye(n_voters))
     total = counts.sum()
@@ -247,7 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, admitted, sample_rows: int = SAMPLE_
 
     patterns = docs.select("text").mapInArrow(_as_arrow(vote, kind), kind).groupBy("votes").agg(F.count("*").alias("n")).collect()
     votes = np.array([[int(v) for v in r["votes"].split(",")] for r in patterns] or [[0] * N_VOTERS])
-    model = fit_label_model(votes, np.array([float(r["n"]) for r in patterns] or [1.0]), lex.base_rate)
+    model = fit_label_model(votes, np.array([float(r["n"]) for r in patterns] or [1.0]), lex.base_rate, lead=N_EVIDENCE)
     row = StructType([StructField("x", ArrayType(DoubleType())), StructField("p", DoubleType()), StructField("y", IntegerType())])
 
     def soft(texts, ys):

@@ -177,6 +177,23 @@ def test_toxicity(spark):
     toxicity.fit(docs.limit(0), labels.limit(0), toxicity.admitted_rows)
 
 
+def test_toxicity_patterns(spark):
+    docs, labels, *_ = labelled(spark)
+    model = toxicity.fit(docs, labels, toxicity.admitted_rows)
+    plain = "bar dele gast mor let kan"
+    x = lambda t: toxicity.measure(t, model.lexicon)
+    low = model.score(np.array([x(plain)[0]]))[0]
+    for t in ("i.d.i.o.t", "id1ot", "1d10t!", "$cum", "i d i o t", "scuuum", "youareanidiotmyfriend", "shut up", "Shut\nUP!", "s-c-u-m"):
+        found, votes = x(f"{plain} {t} {plain}")
+        assert votes != x(f"{plain} x {plain}")[1] and any(votes[5:8]), t
+        assert model.score(np.array([found]))[0] > 0.5 > low, t
+    for t in ("shutter upon", "in 2010", "3.14", "a b c", "B2B", "etc. i.e. U.S.A.", "http://example.org/a/long/path/of/words"):
+        assert not any(x(t)[1][5:8]), t
+    assert x(plain.upper())[1][-3:] == (1, 0, 0) and x("no!!! " + plain)[1][-3:] == (0, 1, 0) and x("you are " + plain)[1][-3:] == (0, 0, 1)
+    lex = toxicity.learn_lexicon(spark.createDataFrame([("好人坏蛋今天", 1)] * 20 + [("好人今天你好", 0)] * 80, "text string, y int"))
+    assert toxicity.measure("明天坏蛋来了", lex)[1][0] == 1 and toxicity.measure("明天好人来了", lex)[1][0] == 0
+
+
 def test_label_model_finds_accuracies_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(40_000) < 0.2
