@@ -10,7 +10,8 @@ window is the least that keeps ``recall`` of them. Where the windows of all curv
 curve is read whole, which is exact. Equal vectors are one class that keeps its k + 1 least ids, which loses no result.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite numbers take no part,
-nor do rows with a null id; repeated ids are repeated candidates; ties go to the smaller id; a table with fewer than k
+nor do rows with a null id; repeated rows count once, and an id with several vectors scores by the pair that is nearest, as a
+query and as a candidate; ties go to the smaller id; a table with fewer than k
 candidates gives all of them; an empty table gives no rows; further columns are ignored.
 """
 
@@ -96,23 +97,38 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int):
-    """(query row, candidate row, score): the k best of ``x`` for every query, ties by id; scores are summed row by row."""
+    """(query row, candidate row, score): the k best ids of ``x`` for every query, each with its best row, ties by id; scores are
+    summed row by row."""
     if not len(x) or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     rows, cols, scores = [], [], []
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ids[by_id][1:] != ids[by_id][:-1])))
+    several = len(first) < len(ids)  # ids with more than one vector
+    if several:
+        group = np.empty(len(ids), np.int64)
+        group[by_id] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
     for a in range(0, len(q), 256):
         s = q[a:a + 256] @ x.T
         s[q_ids[a:a + 256, None] == ids[None, :]] = -np.inf
-        if s.shape[1] > k:
-            bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            r, c = np.nonzero(s >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None])
+        tops = np.maximum.reduceat(s[:, by_id], first, axis=1) if several else s
+        if tops.shape[1] > k:
+            bar = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+            near = s >= (bar - 1e-9 * (1 + np.abs(bar)))[:, None]
         else:
-            r, c = np.nonzero(s > -np.inf)
+            near = s > -np.inf
+        if several:
+            best = tops[:, group]
+            near &= s >= best - 1e-9 * (1 + np.abs(best))
+        r, c = np.nonzero(near)
         keep = q_ids[a + r] != ids[c]
         r, c = r[keep], c[keep]
         exact = (q[a + r] * x[c]).sum(axis=1)
         order = np.lexsort((ids[c], -exact, r))
         r, c, exact = r[order], c[order], exact[order]
+        if several:
+            again = np.sort(np.unique(r * np.int64(len(first)) + group[c], return_index=True)[1])
+            r, c, exact = r[again], c[again], exact[again]
         place = np.arange(len(r)) - np.searchsorted(r, r)
         top = place < k
         rows.append(a + r[top])
@@ -171,7 +187,7 @@ def _met(batches, k: int):
 def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, block_rows: int = BLOCK_ROWS, pilot: int = PILOT) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row whose vec_id meets ``is_query``."""
     spark = vectors.sparkSession
-    v = usable(vectors)
+    v = usable(vectors).distinct()
     same = Window.partitionBy(F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")).orderBy("vec_id")
     kept = v.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k + 1).select("vec_id", "embedding")
     shape = v.agg(F.max(F.size("embedding")).alias("dim"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("sq")).first()
@@ -215,8 +231,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, b
     rows = base.mapInArrow(place(0, 0), _PLACED).unionByName(asked.mapInArrow(place(1, reach), _PLACED))
     met = rows.repartitionByRange(used * n_blocks, "curve", "block").sortWithinPartitions("curve", "block", "kind")
     pairs = met.mapInArrow(lambda b: _met(b, k), _PAIRS)
-    if used > 1:
-        pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _top(pairs, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -227,7 +242,9 @@ def _window(base: DataFrame, asked: DataFrame, cuts: list[list[int]], k: int, re
         return 0
     ids = np.array([r["vec_id"] for r in some])
     q = np.stack([np.frombuffer(r["vec"], np.float64) for r in some])
-    own = {r["vec_id"]: np.array([np.searchsorted(c, r["keys"][j], side="right") for j, c in enumerate(cuts)]) for r in some}
+    own: dict[int, list[list[int]]] = {}
+    for r in some:
+        own.setdefault(r["vec_id"], []).append([int(np.searchsorted(c, r["keys"][j], side="right")) for j, c in enumerate(cuts)])
     kind = StructType([*_PAIRS, StructField("keys", ArrayType(LongType()))])
 
     def run(batches):
@@ -237,6 +254,7 @@ def _window(base: DataFrame, asked: DataFrame, cuts: list[list[int]], k: int, re
             r, c, s = _best(q, ids, x, mine, k)
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(mine[c]), pa.array(s), b.column(1).take(pa.array(c))], names=kind.names)
 
-    true = _top(base.mapInArrow(run, kind), k).collect()  # pilot x k rows
-    far = sorted(min(abs(int(np.searchsorted(c, r["keys"][j], side="right")) - int(own[r["query_id"]][j])) for j, c in enumerate(cuts)) for r in true)
+    once = base.mapInArrow(run, kind).groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "keys")).alias("m")).select("query_id", "vec_id", "m.*")
+    true = _top(once, k).collect()  # pilot x k rows
+    far = sorted(min(abs(int(np.searchsorted(c, r["keys"][j], side="right")) - at[j]) for at in own[r["query_id"]] for j, c in enumerate(cuts)) for r in true)
     return far[min(len(far) - 1, int(np.ceil(recall * len(far))))] if far else 0

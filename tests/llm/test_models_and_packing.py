@@ -138,6 +138,36 @@ def test_neighbours_of_small_tables(spark):
     assert hilbert.nearest(df.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [5000, 40, 20])
+def test_neighbours_of_repeated_ids(spark, block_rows):
+    rng = np.random.default_rng(8)
+    n, dim = 2000, 8
+    x = rng.normal(size=(40, dim))[np.sort(rng.integers(0, 40, n))] + 0.02 * rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:300:10] = x[0]  # thirty ids of one vector
+    rows = [(i, x[i]) for i in range(n)]
+    rows += [(i, x[i]) for i in (*range(0, 100, 50), *range(1, 200, 3)) for _ in range(3)] + [(10, x[10])] * 40  # repeated rows
+    rows += [(i, x[(i + 700) % n]) for i in range(0, n, 25)]  # a further vector of the same id
+    df = spark.createDataFrame([(int(i), [float(f) for f in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in hilbert.nearest(df, lambda c: c % 50 == 0, k=20, block_rows=block_rows).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    vectors, hits = collections.defaultdict(list), []
+    for i, v in rows:
+        vectors[i].append(v)
+    ids, m = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    for q in range(0, n, 50):
+        s = (m[:, None, :] * np.stack(vectors[q])[None]).sum(axis=2).max(axis=1)
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, ids, s)
+        want = [j for j in np.lexsort((np.arange(n), -best)) if j != q][:20]
+        assert len(got[q]) == 20 == len({v for v, _ in got[q]})
+        hits.append(len({v for v, _ in got[q]} & set(want)) / 20)
+        if block_rows == 5000:
+            assert [v for v, _ in got[q]] == want
+    assert got.keys() == set(range(0, n, 50)) and np.mean(hits) >= 0.9
+
+
 def labelled(spark, seed=3, n=900):
     r = random.Random(seed)
     common = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeo" for c in "nrst"]
