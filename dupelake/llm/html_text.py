@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 The page becomes a tree. Parts that are never article text (scripts, menus, headers and footers of the page, side bars, notices,
-adverts, forms, comments of readers) are cut off by element, role and the words of class and id. Every paragraph then passes
+adverts, forms, comments of readers) are cut off by element, role and the words of class and id. Forms and words only raise a doubt:
+a node that holds an article and most of the page stays, and where nothing or little is left, the doubtful nodes around the best
+container come back. Every paragraph then passes
 points, one and more for commas and length, to its ancestors: all to its parent, half to the next, a third of a share beyond.
 A container's points are discounted by its link density; the best one, raised to an enclosing article or main element, gives the
 text together with those of its siblings that score or read like it. Block texts are joined in page order.
@@ -31,14 +33,21 @@ SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": (
                "th": ("tr", "table"), "option": ("select",)}
 
 #: Parts that are not article text (chosen here).
-CUT = frozenset("head script style noscript template nav footer aside form button input select textarea iframe object svg canvas audio video "
-                "dialog menu label fieldset map".split())
+CUT = frozenset("head script style noscript template nav footer aside button input select textarea iframe object svg canvas audio video "
+                "dialog menu map".split())
+#: Elements that are cut unless they hold the article, as by the words of class and id.
+DOUBTFUL = frozenset("form label fieldset".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CUT_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup "
     "modal overlay newsletter subscribe subscription signup signin login register sidebar side rail menu menus nav navbar navigation navigator breadcrumb breadcrumbs pager "
     "pagination footer foot masthead topbar comment comments commentlist disqus respond reply replies discussion share sharing social related "
     "recommended recommendations widget toolbar captcha search hidden skip legal copyright disclaimer paywall donate tags taglist".split())
+#: Cut words that name the comments of readers, which may be longer than the article; words that say what stands beside a node.
+READER_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+BESIDE = frozenset("has have with without no not".split())
+#: A second try counts if it gives so many times the text.
+FAR = 3
 GOOD_WORDS = frozenset("article content post entry story main body text page".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 
@@ -48,45 +57,56 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "points", "good", "post")
+    __slots__ = ("tag", "parent", "kids", "cut", "points", "good", "post", "doubt", "all")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool = False, good: bool = False):
         self.tag, self.parent, self.cut, self.good = tag, parent, cut, good
         self.kids: list = []
         self.points, self.post = 0.0, False
+        self.doubt, self.all = 0, None  # 1: cut unless it holds the article, 2: comments of readers; kids with the doubtful ones
 
 
 #: Words of class and id that name one article, so that a header inside is its title.
 POST_WORDS = frozenset("article post entry story".split())
 
 
-def _judge(tag: str, attrs: str, node: Node) -> tuple[bool, bool, bool]:
-    """(is cut off, is a semantic container, is named as an article) of a new element under ``node``."""
+def _names(value: str) -> list[list[str]]:
+    """The words of every name in a class or id, without what stands after ``BESIDE``: content with-sidebar is content."""
+    out = []
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        out.append(words[:next((i for i, w in enumerate(words) if w in BESIDE), len(words))])
+    return out
+
+
+def _judge(tag: str, attrs: str, node: Node) -> tuple[bool, bool, bool, int]:
+    """(is cut off, is a semantic container, is named as an article, is in doubt) of a new element under ``node``."""
+    doubt = 1 if tag in DOUBTFUL else 0
     if tag in CUT:
-        return True, False, False
+        return True, False, False, 0
     inside = False
     if tag == "header":
         up = node
         while up is not None and not inside:
             inside, up = up.tag in ("article", "main") or up.post, up.parent
-        return not inside, False, False
+        return not inside, False, False, 0
     semantic = tag in ("article", "main")
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, semantic, False
+        return False, semantic, False, doubt
     got = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if got.get("role", "").lower() in CUT_ROLES or got.get("aria-hidden", "").lower() == "true":
-        return True, False, False
+        return True, False, False, 0
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) or re.search(r"display\s*:\s*none", got.get("style", "")):
-        return True, False, False
+        return True, False, False, 0
     semantic = semantic or got.get("role", "").lower() == "main" or got.get("itemprop", "").lower() == "articlebody"
     if tag in ("html", "body", "main"):
-        return False, semantic, False
-    words = {w.lower() for key in ("class", "id") for w in _WORD.findall(got.get(key, ""))}
+        return False, semantic, False, 0
+    words = {w for key in ("class", "id") for name in _names(got.get(key, "")) for w in name}
     if words & CUT_WORDS:
-        return True, False, False
-    if "header" in words and not words & GOOD_WORDS:
-        return tag not in ("h1", "h2", "h3"), False, False
-    return False, semantic, bool(words & POST_WORDS)
+        doubt = 2 if words & READER_WORDS else 1
+    elif "header" in words and not words & GOOD_WORDS and tag not in ("h1", "h2", "h3"):
+        doubt = 1
+    return False, semantic, bool(words & (GOOD_WORDS if doubt else POST_WORDS)), doubt
 
 
 def parse(page: str) -> Node:
@@ -147,9 +167,9 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag == tag:
                 pop_to(tag)
-        cut, good, post = (True, False, False) if node.cut else _judge(tag, attrs, node)
+        cut, good, post, doubt = (True, False, False, 0) if node.cut else _judge(tag, attrs, node)
         child = Node(tag, node, cut, good)
-        child.post = post
+        child.post, child.doubt = post, doubt
         if not cut:
             node.kids.append(child)
         node = child
@@ -224,11 +244,65 @@ def _blocks(top: Node, menus: set[int]) -> list[str]:
     return out
 
 
+def _doubts(root: Node) -> tuple[list[Node], set[int]]:
+    """Nodes with doubtful kids, and the ids of the doubtful nodes that stay: those with most of the page's text and an article in them."""
+    order = list(_walk(root))
+    above = [n for n in order if any(not isinstance(k, str) and k.doubt for k in n.kids)]
+    if not above:
+        return [], set()
+    size, holds, held = _measure(root), {}, set()
+    for node in reversed(order):
+        inside = node.good or node.post or any(not isinstance(k, str) and holds[id(k)] for k in node.kids)
+        n, linked, _ = size[id(node)]
+        if node.doubt == 1 and inside and 2 * n >= size[id(root)][0] and 2 * linked < n:
+            held.add(id(node))
+        holds[id(node)] = inside and (not node.doubt or id(node) in held)
+    for node in above:
+        node.all = node.kids
+    return above, held
+
+
+def _keep(root: Node, above: list[Node], stays) -> None:
+    """Put back the doubtful nodes that ``stays`` admits, and no others."""
+    for node in above:
+        node.kids = node.all
+    for node in _walk(root):
+        node.points = 0.0
+    for node in above:
+        node.kids = [k for k in node.all if isinstance(k, str) or not k.doubt or stays(k)]
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page or page.isspace():
         return ""
     root = parse(page)
+    above, held = _doubts(root)
+    if not above:
+        return _main_text(root)[0]
+    size = _measure(root)
+    _keep(root, above, lambda k: id(k) in held)
+    text = _main_text(root)[0]
+    most = max((size[id(k)][0] for n in above for k in n.all if not isinstance(k, str) and k.doubt and id(k) not in held), default=0)
+    for worst in (1, 2):  # comments of readers only if nothing else is left
+        if text and (worst == 2 or most <= FAR * len(text)):
+            break
+        _keep(root, above, lambda k: k.doubt <= worst)
+        again, best = _main_text(root)
+        around = set(held)
+        while best is not None:  # of the doubtful nodes only those around the best container
+            around.add(id(best))
+            best = best.parent
+        if around - held:
+            _keep(root, above, lambda k: id(k) in around)
+            again = _main_text(root)[0]
+        if not text or len(again) > FAR * len(text):
+            text = again
+    return text
+
+
+def _main_text(root: Node) -> tuple[str, Node | None]:
+    """The main text of a tree and the container that gave it."""
     size = _measure(root)
     density = lambda n: size[id(n)][1] / max(1, size[id(n)][0])
     menus = {id(n) for n in _walk(root) if n.tag in ("ul", "ol", "div", "table", "p", "section") and size[id(n)][2] >= 3 and density(n) > 0.6}
@@ -249,7 +323,7 @@ def extract(page: str | None) -> str:
             level += 1
             up, share = up.parent, 0.5 if level == 2 else 1 / (3 * (level - 1))
     if not scored:
-        return " ".join(_blocks(root, menus))
+        return " ".join(_blocks(root, menus)), None
     best = max(scored, key=lambda n: n.points * (1 - density(n)))
     top = best.points * (1 - density(best))
     up = best
@@ -259,7 +333,7 @@ def extract(page: str | None) -> str:
         up = up.parent
     parent = best.parent if best.parent is not None and best.tag not in ("body", "html") else None
     if parent is None:
-        return " ".join(_blocks(best, menus))
+        return " ".join(_blocks(best, menus)), best
     chosen = []
     for k in parent.kids:
         if isinstance(k, str):
@@ -274,7 +348,7 @@ def extract(page: str | None) -> str:
             chosen.append(k)
         elif k.tag == "p" and not best.good and density(k) < 0.25 and size[id(k)][0] > 80:
             chosen.append(k)
-    return " ".join(t for k in chosen for t in _blocks(k, menus))
+    return " ".join(t for k in chosen for t in _blocks(k, menus)), best
 
 
 _OUT = StructType([StructField("page_id", LongType()), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())])

@@ -90,6 +90,21 @@ def test_pages(spark):
     assert len(html_text.extract("<p>" + "word, " * 100_000)) == 599_999
 
 
+def test_pages_with_cut_words_around_the_article():
+    body = "".join(f"<p>Sentence {i} of the article, long enough, with commas, to be read.</p>" for i in range(8))
+    want = " ".join(f"Sentence {i} of the article, long enough, with commas, to be read." for i in range(8))
+    side = "<div class=sidebar><p>Side, text.</p></div><div class=comments><p>Nice, very nice.</p></div>"
+    for open_, close in (("<div class='content with-sidebar'>", "</div>"), ("<div id='page' class='site has-sidebar'>", "</div>"),
+                         ("<article class='post has-comments'>", "</article>"), ("<section class='story social'>", "</section>"), ("<form action=x>", "</form>"),
+                         ("<form><div>", "</div></form>"), ("<fieldset>", "</fieldset>"), ("<label>", "</label>"), ("<div class=widget><article>", "</article></div>"),
+                         ("<div class=promo><div>", "</div></div>"), ("<div class=comment>", "</div>"), ("<div class=header-wide>", "</div>")):
+        assert html_text.extract(f"<body>{open_}{body}{close}</body>") == want, open_
+        if "class=comment>" not in open_:
+            assert html_text.extract(f"<body>{open_}{body}{side}{close}<footer>f</footer></body>") == want, open_
+    talk = f"<div class=comments>{body * 9}</div>"
+    assert html_text.extract(f"<body><div class=post><p>A short article, no more.</p>{talk}</div></body>") == "A short article, no more."
+
+
 def brute_nearest(ids, x, q, k):
     out = {}
     for i in np.flatnonzero(q):
