@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_dedup, decontaminate, hilbert, html_text, language, lines, ngram_join, packing, quality, toxicity
+from . import byte_dedup, decontaminate, divergence, hilbert, html_text, language, lines, ngram_join, packing, quality, toxicity
 from .common import crc_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op10_language_id(spark, sf_dir):
 @query()
 def op6_hilbert_neighbours(spark, sf_dir):
     return hilbert.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query(divergence.ORACLE_SQL)
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
