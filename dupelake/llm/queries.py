@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_dedup, decontaminate, divergence, hilbert, html_text, language, lines, ngram_join, packing, quality, toxicity
-from .common import crc_fold
+from . import byte_dedup, decontaminate, divergence, hilbert, html_text, language, lines, ngram_join, packing, quality, token_store, toxicity
+from .common import crc_fold, own_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op6_hilbert_neighbours(spark, sf_dir):
 @query(divergence.ORACLE_SQL)
 def op13_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_token_store(spark, sf_dir):
+    return token_store.read_digests(spark, token_store.write_tokens(table(spark, sf_dir, "documents"), own_folder(spark, "tokens")))
