@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_dedup, decontaminate, divergence, hilbert, html_text, language, lines, ngram_join, packing, quality, token_store, toxicity
+from . import byte_dedup, conversations, decontaminate, divergence, hilbert, html_text, language, lines, ngram_join, packing, quality, token_store, toxicity
 from .common import crc_fold, own_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op13_source_divergence(spark, sf_dir):
 @query()
 def op12_token_store(spark, sf_dir):
     return token_store.read_digests(spark, token_store.write_tokens(table(spark, sf_dir, "documents"), own_folder(spark, "tokens")))
+
+
+@query(conversations.ORACLE_SQL)
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.plan_repairs(conversations.damage(table(spark, sf_dir, "conversations")))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import heapq
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from dupelake.llm import divergence, token_store
+from dupelake.llm import conversations, divergence, token_store
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -119,3 +120,90 @@ def test_galloping():
         a, b = (np.array(sorted(r.sample(range(60), r.randrange(40))), np.int64) for _ in range(2))
         i, j = divergence.gallop(a, b)
         assert a[i].tolist() == b[j].tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+
+
+def repaired_by_search(rows):
+    """(cost, edit string, repaired lines) by trying everything, cheapest and then least first. Rows are (role, text, fault)."""
+    heap, done = [(0, "", 0, 0, ())], set()
+    step = {("s", 0): 1, ("u", 0): 2, ("u", 1): 2, ("u", 3): 2, ("a", 2): 3}
+    turn = (2, 2, 3, 2)
+    while heap:
+        cost, path, i, q, made = heapq.heappop(heap)
+        if i == len(rows) and q in (0, 3):
+            return cost, path, made
+        if (path, i, q) in done:
+            continue
+        done.add((path, i, q))
+        if path.count("I") < 3 + len(rows) and not path.endswith("III"):
+            heapq.heappush(heap, (cost + 2, path + "I", i, turn[q], (*made, ("user:" if turn[q] == 2 else "assistant:"))))
+        if i < len(rows):
+            role, text, fault = rows[i]
+            heapq.heappush(heap, (cost + 3, path + "D", i + 1, q, made))
+            if fault < 2:
+                heapq.heappush(heap, (cost + 2 + fault, path + "R", i + 1, turn[q], (*made, ("user:" if turn[q] == 2 else "assistant:") + text)))
+                if (role[:1], q) in step:
+                    heapq.heappush(heap, (cost + fault, path + "K", i + 1, step[role[:1], q], (*made, role + ":" + text)))
+
+
+def repaired_by_rules(rows):
+    """Expected plan of a conversation's rows (turn, role, text, copies), without the damage."""
+    rows = sorted(((t, r or " ", x or " ") for t, r, x, c in rows for _ in range(c)), key=lambda v: (v[0] is not None, v[0] or 0, v[1], v[2]))
+    seen, faulty, count = set(), [], collections.Counter()
+    for _, role, text in rows:
+        ink = text.rstrip(" \t\n\x0b\x0c\r")
+        fault = 3 if not ink else 2 if (role, text) in seen else 1 if ink[-1] not in ".!?" else 0
+        seen.add((role, text))
+        count[fault] += 1
+        faulty.append((role, text, fault))
+    turns = [t for t, *_ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, path, made = repaired_by_search(faulty)
+    return (gaps, count[3], count[2], count[1], illegal, cost, path, hashlib.sha256("\n".join(made).encode()).hexdigest()), made
+
+
+def some_conversations(n, longest, seed):
+    r = random.Random(seed)
+    rows = []
+    for c in [*range(n), None]:
+        for _ in range(r.randrange(longest + 1)):
+            rows.append((c, r.choice([None, *range(6)]), r.choice(["user", "assistant", "system", "tool", "", None, "User", "ünd"]),
+                         r.choice(["Yes.", "No!", "so", "", None, "\n \t", "a.b", "é?\n", "x" * 3000]), r.choice([0, 1, 1, 1, 1, 2])))
+    return rows
+
+
+@pytest.mark.parametrize("spill", [2, 1 << 20])
+def test_conversation_repair(spark, spill):
+    rows = some_conversations(70, 6, 8)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, copies int").withColumns({"gaps": F.lit("x"), "fault": F.lit(None)}).repartition(3)
+    plans = conversations.plan_repairs(turns, spill)
+    made = collections.defaultdict(list)
+    for r in conversations.repaired_turns(turns, plans).collect():
+        made[r.conv_id].append((r.position, f"{r.role}:{r.text}"))
+    got = {r[0]: tuple(r[1:]) for r in plans.collect()}
+    ids = {r[0] for r in rows}
+    assert set(got) == ids
+    for c in ids:
+        want, lines = repaired_by_rules([r[1:] for r in rows if r[0] == c])
+        assert got[c] == want, c
+        assert sorted(made[c]) == list(enumerate(lines))
+    assert conversations.plan_repairs(turns.limit(0)).count() == 0
+
+
+def test_damage_of_conversations(spark):
+    rows = [(c, t, r, x) for c in (*range(40), None) for t in (None, 0, 1, 2) for r, x in (("assistant", "A. b? c!"),)] + [(7, 1, None, None)]
+    got = conversations.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for (c, t, role, text), r in zip(rows, got):
+        code = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        text, role = text or " ", role or " "
+        assert (r.role, r.text, r.copies) == ("user" if code == 4 else role, {1: "", 2: re.sub("[.!?]", "", text)}.get(code, text), {0: 0, 3: 2}.get(code, 1))
+
+
+def test_a_giant_conversation_keeps_no_text():
+    repair = conversations.Repair(conversations.Steps(), 1 << 12)
+    for i in range(50_000):
+        repair.add(i, ("user", "assistant")[i % 2], f"{i}.", 0)
+    assert len(repair.back) * 2 < 1 << 12 and len(repair.steps.steps) < 50
+    gaps, *_, cost, audit, digest = repair.close()
+    lines = "\n".join(f"{('user', 'assistant')[i % 2]}:{i}." for i in range(50_000))
+    assert (gaps, cost, audit, digest) == (0, 0, "K" * 50_000, hashlib.sha256(lines.encode()).hexdigest())
