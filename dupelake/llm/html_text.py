@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 The page becomes a tree. Parts that are never article text (scripts, menus, headers and footers of the page, side bars, notices,
-adverts, forms, comments of readers) are cut off by element, role and the words of class and id. Forms and words only raise a doubt:
+adverts, forms, comments of readers) are cut off by element, role and the words of class and id. Forms, roles and words only raise a doubt:
 a node that holds an article and most of the page stays, and where nothing or little is left, the doubtful nodes around the best
 container come back. Every paragraph then passes
 points, one and more for commas and length, to its ancestors: all to its parent, half to the next, a third of a share beyond.
@@ -51,18 +51,21 @@ FAR = 3
 GOOD_WORDS = frozenset("article content post entry story main body text page".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: A comment, a declaration, a tag; a tag whose quotes do not match ends at the next ">". Searched up to the last ">" of a page only,
+#: so that no "<" is followed to the end of the page more than once.
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"'<]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/><]*+)([^>]*+)>", re.S)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "points", "good", "post", "doubt", "all")
+    __slots__ = ("tag", "parent", "kids", "cut", "points", "good", "post", "inside", "doubt", "all")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool = False, good: bool = False):
         self.tag, self.parent, self.cut, self.good = tag, parent, cut, good
         self.kids: list = []
         self.points, self.post = 0.0, False
+        self.inside = parent is not None and (parent.inside or parent.post or parent.tag in ("article", "main"))
         self.doubt, self.all = 0, None  # 1: cut unless it holds the article, 2: comments of readers; kids with the doubtful ones
 
 
@@ -84,24 +87,20 @@ def _judge(tag: str, attrs: str, node: Node) -> tuple[bool, bool, bool, int]:
     doubt = 1 if tag in DOUBTFUL else 0
     if tag in CUT:
         return True, False, False, 0
-    inside = False
     if tag == "header":
-        up = node
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main") or up.post, up.parent
-        return not inside, False, False, 0
+        return not (node.inside or node.post or node.tag in ("article", "main")), False, False, 0
     semantic = tag in ("article", "main")
     if not attrs or "=" not in attrs and "hidden" not in attrs:
         return False, semantic, False, doubt
     got = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    if got.get("role", "").lower() in CUT_ROLES or got.get("aria-hidden", "").lower() == "true":
-        return True, False, False, 0
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs) or re.search(r"display\s*:\s*none", got.get("style", "")):
+    if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
         return True, False, False, 0
     semantic = semantic or got.get("role", "").lower() == "main" or got.get("itemprop", "").lower() == "articlebody"
     if tag in ("html", "body", "main"):
         return False, semantic, False, 0
     words = {w for key in ("class", "id") for name in _names(got.get(key, "")) for w in name}
+    if got.get("role", "").lower() in CUT_ROLES:
+        doubt = 1
     if words & CUT_WORDS:
         doubt = 2 if words & READER_WORDS else 1
     elif "header" in words and not words & GOOD_WORDS and tag not in ("h1", "h2", "h3"):
@@ -124,12 +123,16 @@ def parse(page: str) -> Node:
             if done:
                 return
 
+    last = page.rfind(">") + 1
     while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at:m.start()] if m else page[at:]
+        m = _TOKEN.search(page, at, last)
+        stop = m.start() if m else end
+        if not m:  # what a page breaks off in: a comment or declaration
+            stop = min((i for i in (page.find("<!", at), page.find("<?", at)) if i >= 0), default=end)
+        text = page[at:stop]
         if text and not node.cut:
             node.kids.append(_html.unescape(text) if "&" in text else text)
-        if not m:
+        if not m or page.startswith("<!--", stop) and not m[0].endswith("-->"):
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -161,7 +164,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag == "p":
                 pop_to("p")
-        if tag in SAME_CLOSES:
+        if tag in SAME_CLOSES and open_count.get(tag):
             up = node
             while up.parent is not None and up.tag not in SAME_CLOSES[tag] and up.tag != tag:
                 up = up.parent

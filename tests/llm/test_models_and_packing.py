@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -290,3 +291,28 @@ def test_language(spark):
     assert language.identify(docs.limit(0), model).count() == 0
     nothing = language.fit(docs.limit(0), language.admitted_rows)
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("wrapper", ['article title="The hidden valley"', 'div aria-label="all hidden gems"', "div role=alert", "div role=form", "section role=search", "main role=dialog"])
+def test_attribute_values_and_roles_do_not_cut_articles(wrapper):
+    tag = wrapper.split()[0]
+    body = "<p>" + "A valley, as it lies there, is seen by few. " * 6 + "</p><p>" + "Those who saw it came back, and told of it. " * 6 + "</p>"
+    page = f"<body><nav>Home Other</nav><{wrapper}>{body}</{tag}><p hidden>gone</p><div hidden=until-found>gone</div><footer>f</footer></body>"
+    assert html_text.extract(page) == " ".join(body.replace("<p>", " ").replace("</p>", " ").split())
+
+
+@pytest.mark.parametrize("page", ["<a" * 100_000, '<a "' * 50_000, "<a '" * 50_000 + '"', "<!--" * 50_000, "<a b='" + "<a " * 50_000, '<p "<b" ' + '"<b" ' * 50_000,
+                                  "<div>" * 20_000 + "<li>x" * 20_000, "<div>" * 20_000 + "<header></header>" * 20_000, "<a" * 50_000 + ">" + "<a" * 50_000, "<?" * 50_000,
+                                  "<script>" * 20_000, "<p><b>" * 20_000, "&" * 100_000, "<a " + "x " * 50_000 + ">"])
+def test_hostile_pages_take_linear_time(page):
+    begun = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - begun < 2
+
+
+def test_pages_that_break_off():
+    assert html_text.extract("<p>one two<!-- three") == "one two"
+    assert html_text.extract("<p>one two <?three") == "one two"
+    assert html_text.extract("<p>one <!-- x --> two <b") == "one two <b"
+    assert html_text.extract("<p>one</p><!-- a > b") == "one"
+    assert html_text.extract("a < b and b > c") == "a < b and b > c"
