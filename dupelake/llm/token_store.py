@@ -25,7 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -45,35 +48,78 @@ DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 64 << 10, 2000, 2000
 LEVEL = 3
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
+#: What the lower case of Latin text could change in another way than the tokenizer's, and Latin letters before a mark.
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]|\u0130")
+_MARKED = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,!?;:]")
 
 
 class TextEncoder:
     """text -> ids by the tokenizer called ``name`` (of the public set, or a path without ending).
 
     With ``by_word`` a text is cut at blanks and line feeds, which this tokenizer drops and never joins over, and the ids of a
-    word are remembered; every word goes through the tokenizer file. A text that may hold a special token goes there whole.
+    word are remembered; every word goes through the tokenizer file. Words of letters alone go there many at a time and are told
+    apart by the tokens that end a word; one mark of punctuation after Latin letters is a word of its own to the tokenizer, which
+    lowers letters itself, so a text in Latin script is lowered first. A text that may hold a special token goes there whole.
     """
 
+    @classmethod
+    def of_process(cls, name: str, by_word: bool) -> "TextEncoder":
+        """The encoder of this worker process, kept from task to task with the words it remembers."""
+        held = vars(sys).setdefault("_token_store_encoders", {})
+        if (name, by_word) not in held:
+            held[name, by_word] = cls(name, by_word)
+        return held[name, by_word]
+
     def __init__(self, name: str = TOKENIZER, by_word: bool = True):
         import public_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         import tokenizers
 
         self.file = tokenizers.Tokenizer.from_file(name + ".json" if os.path.isabs(name) else public_tokenizers.path(name + ".json"))
         self.special = [t.content for t in self.file.get_added_tokens_decoder().values()]
         self.size = self.file.get_vocab_size()
         self.by_word, self.known = by_word, {"": b""}
+        if by_word:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for token, i in self.file.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.file.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, found: list[str]) -> None:
+        """Remember words of letters alone."""
+        for a in range(0, len(found), 1000):
+            part = found[a:a + 1000]
+            ids = np.array(self.file.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) != len(part) + 1:
+                self.known.update(zip(part, self._ids(part)))
+                continue
+            data = ids.tobytes()
+            self.known.update((w, data[i:j]) for w, i, j in zip(part, cuts, cuts[1:]))
+
+    def _learn(self, fresh: set[str]) -> None:
+        marked = [w for w in fresh if _MARKED.fullmatch(w)]
+        stems = {w[:-1] for w in marked} - self.known.keys()
+        rest = stems | fresh.difference(marked)
+        marks = {w[-1] for w in marked} - self.known.keys()
+        plain = [w for w in rest if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())]
+        self._plain(plain)
+        other = list((rest | marks).difference(plain))
+        for a in range(0, len(other), 5000):
+            self.known.update(zip(other[a:a + 5000], self._ids(other[a:a + 5000])))
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in marked)
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
         whole = {i for i, t in enumerate(texts) if not self.by_word or any(s in t for s in self.special)}
-        cut = [() if i in whole else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        fresh = list({w for words in cut for w in words} - self.known.keys())
-        for a in range(0, len(fresh), 10_000):
-            self.known.update(zip(fresh[a:a + 10_000], self._ids(fresh[a:a + 10_000])))
+        cut = [() if i in whole else (t if _BEYOND_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for i, t in enumerate(texts)]
+        met = set().union(*cut)
+        if len(self.known) > REMEMBERED:  # frequent words are met again in any run of texts
+            self.known = {"": b"", **{w: self.known[w] for w in met if w in self.known}}
+        fresh = met.difference(self.known)
+        if fresh:
+            self._learn(fresh)
         known = self.known.__getitem__
         return [np.frombuffer(self._ids([t])[0] if i in whole else b"".join(map(known, cut[i])), "<u4") for i, t in enumerate(texts)]
 
@@ -106,14 +152,15 @@ def _codec(dictionary: bytes):
 def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, by_word: bool = True, width: int = 2,
                      sample_documents: int = SAMPLE_DOCUMENTS, sample_ids: int = SAMPLE_IDS) -> bytes:
     """Dictionary of the serialized ids of a bounded sample, chosen by the hash of the id."""
-    chosen = docs.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_documents)
+    chosen = (docs.select("doc_id", F.substring("text", 1, 16 * sample_ids).alias("text"), F.xxhash64("doc_id", "text").alias("by"))
+              .orderBy("by", "doc_id", "text").limit(sample_documents))
 
     def run(batches):
-        encoder = TextEncoder(tokenizer, by_word)
+        encoder = TextEncoder.of_process(tokenizer, by_word)
         for _, texts in text_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([ids[:sample_ids].astype(f"<u{width}").tobytes() for ids in encoder.many(texts)], pa.binary())], names=["ids"])
 
-    rows = chosen.select("doc_id", F.substring("text", 1, 16 * sample_ids).alias("text")).mapInArrow(run, "ids binary").collect()
+    rows = chosen.select("doc_id", "text").mapInArrow(run, "ids binary").collect()
     return dictionary_of([r.ids for r in rows])
 
 
@@ -154,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     shipped = spark.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (packer, _) = TextEncoder(tokenizer, by_word), _codec(shipped.value)
+        encoder, (packer, _) = TextEncoder.of_process(tokenizer, by_word), _codec(shipped.value)
         block, held, waiting, start = TaskContext.get().partitionId() << 32, [], 0, 0
         end = np.array([end_id], "<u4")
 
