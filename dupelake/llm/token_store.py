@@ -28,7 +28,6 @@ import os
 import re
 import struct
 import sys
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -48,18 +47,25 @@ DICTIONARY_BYTES, SAMPLE_DOCUMENTS, SAMPLE_IDS = 64 << 10, 2000, 2000
 LEVEL = 3
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
-#: What the lower case of Latin text could change in another way than the tokenizer's, and Latin letters before a mark.
-_BEYOND_LATIN = re.compile("[^\x00-\u024f]|\u0130")
-_MARKED = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,!?;:]")
+_LATIN = "".join(map(chr, range(256)))
+_LETTERS = "".join(c for c in _LATIN if c.isalpha())
+_NUMBERS = "".join(c for c in _LATIN if c.isnumeric())
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0"
+#: Words of the tokenizer: contractions, letters, single digits, and runs of anything else but white space.
+_LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+#: Bytes as the characters of byte-level vocabularies: visible characters stand for themselves, the others for 256 and on in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN) if b != 32}
 
 
 class TextEncoder:
     """text -> ids by the tokenizer called ``name`` (of the public set, or a path without ending).
 
-    With ``by_word`` a text is cut at blanks and line feeds, which this tokenizer drops and never joins over, and the ids of a
-    word are remembered; every word goes through the tokenizer file. Words of letters alone go there many at a time and are told
-    apart by the tokens that end a word; one mark of punctuation after Latin letters is a word of its own to the tokenizer, which
-    lowers letters itself, so a text in Latin script is lowered first. A text that may hold a special token goes there whole.
+    With ``by_word`` the ids of words are remembered. A text in Latin script is lowered and cut into the tokenizer's own words
+    (``_LATIN_WORDS`` is its rule for the first 256 characters); new ones go many at a time through the tokenizer file without its
+    steps of lowering and cutting, told apart by the tokens that end a word. Any other text is cut at blanks and line feeds, which
+    this tokenizer drops and never joins over, and new pieces go through the whole tokenizer. So does a text that may hold a special
+    token, in one piece.
     """
 
     @classmethod
@@ -83,45 +89,54 @@ class TextEncoder:
         if by_word:
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for token, i in self.file.get_vocab().items() if token.endswith("</w>")]] = True
+            self.bare = tokenizers.Tokenizer(self.file.model)
+            self.bare.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.file.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, found: list[str]) -> None:
-        """Remember words of letters alone."""
-        for a in range(0, len(found), 1000):
-            part = found[a:a + 1000]
-            ids = np.array(self.file.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn_words(self, fresh: list[str]) -> None:
+        for a in range(0, len(fresh), 1000):
+            part = fresh[a:a + 1000]
+            line = " ".join(part)
+            if not line.isascii():
+                line = line.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cuts) != len(part) + 1:
-                self.known.update(zip(part, self._ids(part)))
-                continue
             data = ids.tobytes()
-            self.known.update((w, data[i:j]) for w, i, j in zip(part, cuts, cuts[1:]))
-
-    def _learn(self, fresh: set[str]) -> None:
-        marked = [w for w in fresh if _MARKED.fullmatch(w)]
-        stems = {w[:-1] for w in marked} - self.known.keys()
-        rest = stems | fresh.difference(marked)
-        marks = {w[-1] for w in marked} - self.known.keys()
-        plain = [w for w in rest if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())]
-        self._plain(plain)
-        other = list((rest | marks).difference(plain))
-        for a in range(0, len(other), 5000):
-            self.known.update(zip(other[a:a + 5000], self._ids(other[a:a + 5000])))
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1]]) for w in marked)
+            self.known.update((w, data[i:j]) for w, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {i for i, t in enumerate(texts) if not self.by_word or any(s in t for s in self.special)}
-        cut = [() if i in whole else (t if _BEYOND_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for i, t in enumerate(texts)]
-        met = set().union(*cut)
+        cut: list = []
+        words: set[str] = set()
+        pieces: set[str] = set()
+        for text in texts:
+            if not self.by_word or any(s in text for s in self.special):
+                cut.append(None)
+            elif text.isascii() or _is_latin(text):
+                cut.append(_LATIN_WORDS.findall(text.lower()))
+                words.update(cut[-1])
+            else:
+                cut.append(text.replace("\n", " ").split(" "))
+                pieces.update(cut[-1])
         if len(self.known) > REMEMBERED:  # frequent words are met again in any run of texts
-            self.known = {"": b"", **{w: self.known[w] for w in met if w in self.known}}
-        fresh = met.difference(self.known)
-        if fresh:
-            self._learn(fresh)
+            self.known = {"": b"", **{w: self.known[w] for w in words | pieces if w in self.known}}
+        words.difference_update(self.known)
+        self._learn_words([w for w in words if w.isascii()])
+        self._learn_words([w for w in words if not w.isascii()])
+        fresh = list(pieces.difference(self.known))
+        for a in range(0, len(fresh), 5000):
+            self.known.update(zip(fresh[a:a + 5000], self._ids(fresh[a:a + 5000])))
         known = self.known.__getitem__
-        return [np.frombuffer(self._ids([t])[0] if i in whole else b"".join(map(known, cut[i])), "<u4") for i, t in enumerate(texts)]
+        return [np.frombuffer(self._ids([t])[0] if c is None else b"".join(map(known, c)), "<u4") for t, c in zip(texts, cut)]
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:

@@ -27,6 +27,8 @@ def invented(n, seed=3):
 def test_words_give_the_ids_of_whole_texts():
     file = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = invented(60) + ["", " ", "\n\n a", "a <|endoftext|> b", "<|startoftext|>", " ́a", "a\ńb", "A" * 5000, "क़ क़, \u1e9e. K! Å; ŉ: ǅ, ﬃ. a, a. ,, .a b,. ŉ's", "x" + "́" * 300]
+    r = random.Random(4)
+    texts += ["".join(r.choices([*map(chr, range(1, 256)), *" ''aestlrvmd,."], k=200)) for _ in range(300)] + [chr(a) + "b" + chr(a) * 2 for a in range(256)]
     got = token_store.TextEncoder().many(texts)
     for text, ids in zip(texts, got):
         assert ids.tolist() == file.encode(text, add_special_tokens=False).ids
