@@ -99,7 +99,7 @@ class TextEncoder:
         for a in range(0, len(fresh), 1000):
             part = fresh[a:a + 1000]
             line = " ".join(part)
-            if not line.isascii():
+            if not (line.isascii() and line.isprintable()):
                 line = line.encode().decode("latin-1").translate(_BYTE_LETTERS)
             ids = np.array(self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
