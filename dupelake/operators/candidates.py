@@ -188,16 +188,18 @@ def hash_pairs(files: DataFrame, cfg: ScanConfig, samples: int) -> DataFrame:
     """
     # keys over two positions are selective by themselves; single-position keys also carry the duration bucket
     paired = required_matches(samples, cfg.quorum_ratio) > 1
-    deltas = [0, 1] if bucket_reach(cfg) and not paired else [0]
+    delta_join = "is_new" in files.columns  # only pairs with a new file: new rows probe all rows
+    deltas = ([-1, 0, 1] if delta_join else [0, 1]) if bucket_reach(cfg) and not paired else [0]
     base = (files.withColumn("bk", F.lit(0).cast("bigint") if paired else duration_bucket("duration_s", cfg))
             .withColumn("fk", folder_key("folder", cfg) if cfg.folder_mode != "none" else F.lit("")))
     # only (key, id) rows are shuffled for the self join; features come back once per distinct candidate pair
-    keyed = base.select("file_id", "bk", "fk", F.explode(hash_band_keys("phash", samples, cfg)).alias("key"))
+    keyed = base.select("file_id", "bk", "fk", *(["is_new"] if delta_join else []), F.explode(hash_band_keys("phash", samples, cfg)).alias("key"))
     gate = ["fk"] if cfg.folder_mode == "same" else []
-    left = keyed.select("key", "bk", *gate, F.col("file_id").alias("x"))
+    left = (keyed.where("is_new") if delta_join else keyed).select("key", "bk", *gate, F.col("file_id").alias("x"))
     right = (keyed.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in deltas])))
              .select("key", (F.col("bk") - F.col("delta")).alias("bk"), *gate, F.col("file_id").alias("y"), "delta"))
-    ids = (left.join(right, ["key", "bk", *gate]).where((F.col("delta") == 1) | (F.col("x") < F.col("y")))
+    once = F.lit(True) if delta_join else (F.col("delta") == 1) | (F.col("x") < F.col("y"))
+    ids = (left.join(right, ["key", "bk", *gate]).where(once)
            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
     bits = allowed_bits(cfg.percent)
     keep = ["file_id", "path", "duration_s", "phash", "fk", *[c for c in ("size", "dev", "inode") if c in base.columns]]

@@ -135,13 +135,13 @@ def _spread_to_members(parts: DataFrame, members: DataFrame, edges_flipped: bool
                     F.when(head, F.col("flags")).otherwise(F.col("flags_rest")).alias("flags"))
 
 
-def merge_pairs(reps: DataFrame, members: DataFrame, edges: DataFrame, cfg: ScanConfig) -> DataFrame:
+def merge_pairs(reps: DataFrame, members: DataFrame, edges: DataFrame, cfg: ScanConfig, comps: DataFrame | None = None) -> DataFrame:
     """Representative-guarded union of matching pairs: (file_id, path, rep_id, group_id, diff, flags).
 
     ``group_id`` is the id of the group's representative file. Files whose joins were all blocked do not appear.
     """
     edges = cut_lineage(edges)
-    comps = connected_components(edges)
+    comps = connected_components(edges) if comps is None else comps
     lone = reps.where(F.col("copies") > 1).join(comps, F.col("file_id") == F.col("node"), "left_anti")
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
     big = sizes.where(F.col("n") > cfg.replay_limit).select("component")
@@ -479,7 +479,15 @@ def find_duplicates(snapshot: DataFrame, cfg: ScanConfig) -> DataFrame:
     reps, members = collapse_copies(snapshot, cfg)
     reps = cut_lineage(reps)
     members = cut_lineage(members)
-    items = merge_pairs(reps, members, matching_pairs(reps, cfg), cfg)
+    return cluster(reps, members, matching_pairs(reps, cfg), cfg)
+
+
+def cluster(reps: DataFrame, members: DataFrame, edges: DataFrame, cfg: ScanConfig, comps: DataFrame | None = None) -> DataFrame:
+    """Groups of matched classes: (group_id, file_id, path, similarity percent, flags).
+
+    Components do not touch each other, so whole components may be given alone; ``comps`` are those of ``edges``.
+    """
+    items = merge_pairs(reps, members, edges, cfg, comps)
     items = split_daisy_chains(cut_lineage(items), reps, cfg)
     return drop_singleton_groups(items).select(
         "group_id", "file_id", "path", ((F.lit(1.0) - F.col("diff")) * 100).cast("float").alias("similarity"), "flags")

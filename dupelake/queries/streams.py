@@ -6,10 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..config import ScanConfig
+from ..operators.scoring import compare_snapshot
 from ..plans.skew import ensure_checkpoint_dir
-from ..streaming import monitor as MO
+from ..sources.catalog import read_catalog
+from ..streaming import incremental as IN, monitor as MO
 from . import query
+from .catalog import C, N, _catalog, _listing, _MOVES
 from .derive import table
+from .matching import _E, _SAD, vector_media
 
 _LOG = """(SELECT event_id, ts, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS severity, event_type || ' of user ' || CAST(user_id % 7 AS VARCHAR) || ' ' || props AS message,
  event_type = 'signup' AND user_id % 10 = 0 AS is_session_start FROM events)"""
@@ -97,3 +102,54 @@ def streamed_quarantine(spark, sf):
          .option("checkpointLocation", root + "/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(root + "/table").select("path", F.unix_micros("ts").alias("begin_us"), "flag")
+
+
+def _dropped(spark, folder, parts):
+    """A stream that delivers the given tables one after the other."""
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(f"""WITH {_MOVES}, c AS (SELECT coalesce(new_path, path) AS path, path AS first_path, size, created, modified, content_key, new_path IS NOT NULL AS moved FROM {C} LEFT JOIN mv ON old_path = path)
+SELECT coalesce(c.path, l.path) AS path, c.first_path, l.path IS NULL AS vanished, coalesce(l.size, c.size) AS size, coalesce(l.created, c.created) AS created
+ FROM c FULL JOIN {N} l ON c.path = l.path""")
+def streamed_refresh(spark, sf):
+    """Three drops: the catalog as first listing, half of the new listing with what is gone from it, the other half.
+
+    ``first_path`` is the path under which a file came in; a moved file keeps its id, so it keeps the first path too.
+    """
+    root = _folder(spark)
+    cols = ["path", "size", F.timestamp_seconds("created").alias("created"), F.timestamp_seconds("modified").alias("modified"), "content_key"]
+    known, listed = (d.select(*cols, F.lit(False).alias("gone")) for d in (_catalog(spark, sf), _listing(spark, sf)))
+    gone = known.join(listed.select("path"), "path", "left_anti").withColumn("gone", F.lit(True)).select(*known.columns)
+    half = F.pmod(F.hash("path"), F.lit(2)) == 0
+    drops = _dropped(spark, root + "/drops", [known, listed.where(half).unionByName(gone), listed.where(~half)])
+    schema = "file_id long, path string, size long, created timestamp, modified timestamp, content_key string, vanished boolean"
+    IN.stream_refresh(drops, root + "/catalog", root + "/state", schema).awaitTermination()
+    first = spark.read.parquet(root + "/catalog/changes/batch=0").select("file_id", F.col("path").alias("first_path"))
+    seconds = F.unix_seconds("created").alias("created")
+    return (read_catalog(spark, root + "/catalog", schema=schema).join(first, "file_id", "left")
+            .select("path", "first_path", "vanished", "size", seconds))
+
+
+def vectors_with_copies(spark, sf, cfg):
+    """Snapshot rows of every vector, and of a copy of every fifth one whose path sorts before all others."""
+    media, frames = vector_media(spark, sf, True)
+    rows = compare_snapshot(media, frames, cfg)
+    again = rows.where("file_id % 5 = 0").withColumn("file_id", F.col("file_id") + 1000000).withColumn("path", F.concat(F.lit("!"), "path"))
+    return rows.unionByName(again)
+
+
+@query(f"""WITH e AS MATERIALIZED {_E}, f AS (SELECT vec_id AS file_id, lpad(CAST(vec_id AS VARCHAR), 12, '0') AS path, label, q FROM e
+ UNION ALL SELECT vec_id + 1000000, '!' || lpad(CAST(vec_id AS VARCHAR), 12, '0'), label, q FROM e WHERE vec_id % 5 = 0),
+ r AS MATERIALIZED (SELECT label, q, arg_min(file_id, path) AS id, min(path) AS path FROM f GROUP BY ALL),
+ p AS (SELECT a.id AS a, b.id AS b, {_SAD} / 262144.0 AS diff FROM r a JOIN r b ON a.path < b.path)
+SELECT a, b, CAST(diff AS DOUBLE) AS diff FROM p WHERE diff <= 0.135""")
+def streamed_matches(spark, sf):
+    """Vectors and copies in three drops; a copy may come before or after its original and always represents both."""
+    root, cfg = _folder(spark), ScanConfig(percent=86.5)
+    rows = vectors_with_copies(spark, sf, cfg)
+    drop = F.pmod(F.col("file_id"), F.lit(3))
+    IN.stream_match(_dropped(spark, root + "/drops", [rows.where(drop == k) for k in range(3)]), root + "/state", root + "/progress", cfg).awaitTermination()
+    return IN.matched_edges(spark, root + "/state").select("a", "b", F.col("diff").cast("double").alias("diff"))
