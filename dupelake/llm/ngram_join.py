@@ -1,10 +1,13 @@
 """Similarity join of documents on the Jaccard index of their word n-gram sets, with prefix filtering.
 
-Documents with the same set are one class, so copies are never paired. n-grams have one global order: a fixed share of them
-(chosen by hash, a little more than a prefix needs) comes first, rarest first by its count over all documents; the rest follows
-by hash. Two sets that reach the threshold share an n-gram of their prefixes, and the first shared one passes three filters
-before a pair is made: length, position (what can still follow) and suffix (sums of count differences over cells of n-grams
-bound the symmetric difference). Each remaining pair is verified once, on the whole sets.
+Documents with the same set are one class, so copies are never paired. n-grams have one global order, rarest first by the number of
+classes that hold them; ties go by hash. Counting needs no row per n-gram: tasks send the n-grams of their classes as packed bytes
+to buckets of the hash range, and a bucket returns rows only for n-grams that two classes share. An n-gram of one class comes
+before all shared ones, so its place in the order is known without it. n-grams that a bounded pilot finds in a hundredth of its
+classes come last, in the pilot's order; they are not counted, so no bucket holds one of them once per class, and only a set whose
+prefix reaches them names them. Two sets that reach the threshold share an n-gram of their prefixes, and the first shared one passes
+three filters before a pair is made: length, position (what can still follow) and suffix (sums of count differences over cells of
+n-grams bound the symmetric difference). Each remaining pair is verified once, on the whole sets.
 
 A large group of near copies links most of its members with each other; its n-grams would emit all pairs. So classes first meet
 one member per prefix n-gram, the verified pairs give components, and only classes of different components meet afterwards. No
@@ -29,23 +32,22 @@ from .common import materialise, mix64, shingle_sets, slices, small_side, utf8_v
 from .components import components
 
 WORDS, PERCENT = 5, 80
-#: The share of n-grams that is ordered by count, as a multiple of the share that prefixes need.
-SPARE = 1.25
+#: Documents of the pilot, and the share of its classes from which an n-gram counts as frequent (at least ``FREQUENT_LEAST`` of them).
+PILOT, FREQUENT_SHARE, FREQUENT_LEAST = 4000, 100, 8
+#: About so many n-grams go to a bucket; a bucket is told by the lower 24 bits of a hash, an n-gram in it by the upper 40.
+BUCKET_GRAMS = 3_000_000
+_LOW = 24
 
 #: Counts of n-grams in 64 cells of the hash range, eight to a long.
 CELLS = tuple(f"c{i}" for i in range(8))
 
-_SETS = StructType([*(StructField(c, LongType()) for c in ("doc_id", "node")), StructField("n", IntegerType()), StructField("n_first", IntegerType()),
+_SETS = StructType([*(StructField(c, LongType()) for c in ("doc_id", "node")), StructField("n", IntegerType()), StructField("n_late", IntegerType()),
                     *(StructField(c, LongType()) for c in CELLS)])
-_GRAMS = StructType([StructField("node", LongType()), StructField("gram", LongType()), StructField("late", IntegerType())])
+_PACKED = "bucket int, payload binary"
+_SHARED = "node long, gram long, late boolean, w long"
 _WHOLE = StructType([StructField("node", LongType()), StructField("grams", ArrayType(LongType()))])
 
 
-def _cut(percent: int) -> int:
-    """Of 1024 parts of the hash range, those whose n-grams come first."""
-    return min(1024, int(1024 * SPARE * (100 - percent) / 100) + 16)
-
-
 def _sets(batch_ids, texts, k: int):
     """Per slice: (doc ids, counts, owner of each n-gram, n-grams, set hash)."""
     data, offs = utf8_views(texts)
@@ -62,57 +64,129 @@ def _sets(batch_ids, texts, k: int):
         yield batch_ids.slice(a, b - a), n, owner, gram, key.view(np.int64)
 
 
-def _is_first(gram: np.ndarray, percent: int) -> np.ndarray:
-    return ((gram >> np.uint64(20)) & np.uint64(1023)) < _cut(percent)
+def frequent_grams(docs: DataFrame, k: int = WORDS) -> np.ndarray:
+    """n-grams of at least a hundredth of the pilot's classes, rarest first; the pilot is one small task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        held = []
+        for batch in batches:
+            for _, n, owner, gram, key in _sets(batch.column(0), batch.column(1), k):
+                held.append(gram[_fresh(seen, n, key)[owner]])
+        gram, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        often = count * FREQUENT_SHARE >= max(len(seen), FREQUENT_SHARE * FREQUENT_LEAST)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=["gram", "n"])
+
+    pilot = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").orderBy(F.xxhash64("text"), "text").limit(PILOT).coalesce(1)
+    rows = pilot.mapInArrow(run, "gram long, n long").collect()  # at most the pilot's n-grams / FREQUENT_LEAST
+    return np.array([r.gram for r in sorted(rows, key=lambda r: (r.n, r.gram))], np.int64).view(np.uint64)
 
 
-def _late_needed(n: np.ndarray, n_first: np.ndarray, percent: int) -> np.ndarray:
-    """How many n-grams beyond those that come first the prefix takes."""
-    return np.maximum(0, n - (n * percent + 99) // 100 + 1 - n_first)
+def _fresh(seen: set[int], n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Rows that are the first of their class in a task; ``seen`` takes the classes up."""
+    new = np.zeros(len(n), bool)
+    for i in np.flatnonzero(n):
+        if key[i] not in seen:
+            seen.add(int(key[i]))
+            new[i] = True
+    return new
 
 
-def document_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node (class; null for an empty set), n, n_first and the cell counts of every document."""
+def _is_late(gram: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which n-grams are among the sorted frequent ones."""
+    if not len(ordered):
+        return np.zeros(len(gram), bool)
+    at = np.searchsorted(ordered, gram)
+    at[at == len(ordered)] = 0
+    return ordered[at] == gram
+
+
+def document_sets(docs: DataFrame, k: int = WORDS, frequent: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """doc_id, node (class; null for an empty set), n, n_late (frequent n-grams) and the cell counts of every document."""
+    ordered = np.sort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for ids, n, owner, gram, key in _sets(batch.column(0), batch.column(1), k):
-                first = np.bincount(owner[_is_first(gram, percent)], minlength=len(n))
+                late = np.bincount(owner[_is_late(gram, ordered)], minlength=len(n))
                 cells = np.bincount(owner * 64 + (gram >> np.uint64(58)).astype(np.int64), minlength=64 * len(n)).astype(np.uint8).reshape(-1, 8, 8)
                 packed = np.ascontiguousarray(cells).view("<i8")[:, :, 0]
                 yield pa.RecordBatch.from_arrays([
-                    ids.cast(pa.int64()), pa.array(key, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(first.astype(np.int32)),
+                    ids.cast(pa.int64()), pa.array(key, mask=n == 0), pa.array(n.astype(np.int32)), pa.array(late.astype(np.int32)),
                     *(pa.array(np.ascontiguousarray(packed[:, i])) for i in range(8))], names=_SETS.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
-def _prefix_grams(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, gram, late of the n-grams that may stand in a prefix; a task gives each class once."""
+def _pack(nodes: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> bytes:
+    """Classes with the number of their keys, and the keys in five bytes each."""
+    return b"".join([len(nodes).to_bytes(4, "little"), nodes.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(),
+                     np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()])
+
+
+def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(class, key) of every key of a payload."""
+    n = int.from_bytes(payload[:4], "little")
+    nodes, lengths = np.frombuffer(payload, "<i8", n, 4), np.frombuffer(payload, "<u4", n, 4 + 8 * n)
+    five = np.frombuffer(payload, np.uint8, offset=4 + 12 * n).reshape(-1, 5)
+    keys = np.zeros((len(five), 8), np.uint8)
+    keys[:, :5] = five
+    return np.repeat(nodes, lengths), keys.view("<u8")[:, 0]
+
+
+def _packed_grams(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """The n-grams of all classes, packed by bucket; a task gives each class once. Frequent n-grams go, by their place in the order
+    and to buckets of classes below zero, only where a prefix reaches them."""
+    by_value = np.argsort(frequent)
+    ordered = frequent[by_value]
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, n, owner, gram, key in _sets(batch.column(0), batch.column(1), k):
-                new = np.zeros(len(n), bool)
-                for i in np.flatnonzero(n):
-                    if key[i] not in seen:
-                        seen.add(int(key[i]))
-                        new[i] = True
+                new = _fresh(seen, n, key)
                 keep = new[owner]
                 owner, gram = owner[keep], gram[keep]
-                first = _is_first(gram, percent)
-                need = _late_needed(n, np.bincount(owner[first], minlength=len(n)), percent)
-                late_owner = owner[~first]  # sorted by row, then hash: the order of the late n-grams
-                count = np.bincount(late_owner, minlength=len(n))
-                rank = np.arange(len(late_owner)) - (np.cumsum(count) - count)[late_owner]
-                take = first.copy()
-                take[~first] = rank < need[late_owner]
-                late = np.full(len(gram), -1, np.int32)
-                late[~first] = rank
-                yield pa.RecordBatch.from_arrays([pa.array(key[owner[take]]), pa.array(gram[take].view(np.int64)), pa.array(late[take])], names=_GRAMS.names)
-
-    return docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(run, _GRAMS)
+                late = _is_late(gram, ordered)
+                plain = np.bincount(owner[~late], minlength=len(n))
+                reached = (plain <= n - (n * percent + 99) // 100)[owner] & late
+                place = by_value[np.searchsorted(ordered, gram[reached])] if reached.any() else np.zeros(0, np.int64)
+                where = np.concatenate(((gram[~late] & np.uint64((1 << _LOW) - 1)).astype(np.int64) % buckets,
+                                        -1 - (key[owner[reached]] & 0xFFFFFF) % buckets))
+                whose = np.concatenate((owner[~late], owner[reached]))
+                keys = np.concatenate((gram[~late] >> np.uint64(_LOW), place.astype(np.uint64)))
+                order = np.lexsort((whose, where))
+                where, whose, keys = where[order], whose[order], keys[order]
+                cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)] if len(where) else [0]
+                packed = []
+                for a, b in zip(cuts, cuts[1:]):
+                    rows, lengths = np.unique(whose[a:b], return_counts=True)
+                    packed.append(_pack(key[rows], lengths, keys[a:b]))
+                yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "payload"])
+
+    return docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(run, _PACKED)
+
+
+def _shared_grams(packed: DataFrame, buckets: int) -> DataFrame:
+    """node, gram, late, w of n-grams that two classes have (w: how many rows had it) and of the frequent ones (w: their place)."""
+
+    def run(key, table):
+        bucket = key[0].as_py()
+        parts = [_unpack(p.as_py()) for p in table.column("payload")]
+        node, gram = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        if bucket < 0:
+            out = node, -1 - gram.astype(np.int64), np.ones(len(node), bool), gram.astype(np.int64)
+        else:
+            order = np.argsort(gram, kind="stable")
+            node, gram = node[order], gram[order]
+            first = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1))
+            count = np.diff(np.append(first, len(gram)))
+            several = np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)
+            keep = np.repeat(several, count)
+            out = node[keep], gram[keep].astype(np.int64) * buckets + bucket, np.zeros(int(keep.sum()), bool), np.repeat(count, count)[keep]
+        return pa.table({n: pa.array(c) for n, c in zip(("node", "gram", "late", "w"), out)})
+
+    return packed.groupBy("bucket").applyInArrow(run, _SHARED)
 
 
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -126,19 +200,21 @@ def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _WHOLE)
 
 
-def _prefixes(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """gram, node, pos, n, c0, c1: the prefix n-grams that more than one document has."""
-    grams = _prefix_grams(docs, k, percent)
-    df = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = grams.join(df, "gram")
-    rank = F.struct((F.col("late") >= 0).alias("tier"), F.when(F.col("late") < 0, F.col("df")).otherwise(F.col("late")).alias("w"), "gram")
-    listed = shared.groupBy("node").agg(F.sort_array(F.collect_set(rank)).alias("own"))
-    classes = sets.where("n > 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "n_first", *CELLS)])
-    rows = listed.join(classes, "node").select("node", "n", "n_first", *CELLS, F.size(F.filter("own", lambda x: ~x["tier"])).alias("n_own"), F.posexplode("own").alias("i", "g"))
-    # n-grams that only one document has come before all shared ones
-    pos = F.when(F.col("g.tier"), F.col("n_first") + F.col("g.w")).otherwise(F.col("n_first") - F.col("n_own") + F.col("i"))
+def _prefixes(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """gram, node, pos, n and cells: the prefix n-grams that several classes have, with their place in the set's order."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = min((1 << 22), 1 + total // BUCKET_GRAMS)
+    shared = _shared_grams(_packed_grams(docs, k, percent, frequent, buckets), buckets)
+    listed = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("late", "w", "gram"))).alias("own"))
+    classes = sets.where("n > 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "n_late", *CELLS)])
+    plain = F.size(F.filter("own", lambda x: ~x["late"]))
+    # before the shared n-grams stand those of one class, after them the frequent ones
+    ahead = F.col("n") - F.col("n_late") - plain
     last = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
-    return rows.select(F.col("g.gram").alias("gram"), "node", pos.cast("int").alias("pos"), "n", *CELLS).where(F.col("pos") <= last)
+    places = F.transform("own", lambda x, i: F.struct(x["gram"].alias("gram"), (i + F.when(x["late"], F.col("n") - F.col("n_late") - F.col("plain")).otherwise(F.col("ahead"))).cast("int").alias("pos")))
+    rows = (listed.join(classes, "node").withColumn("plain", plain).withColumn("ahead", ahead).withColumn("last", last)
+            .withColumn("places", F.filter(places, lambda x: x["pos"] <= F.col("last"))))
+    return rows.select("node", "n", *CELLS, F.explode("places").alias("g")).select("g.gram", "node", "g.pos", "n", *CELLS)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -185,15 +261,17 @@ def _joined(prefixes: DataFrame, percent: int, apart: bool) -> DataFrame:
 
 def similar_pairs(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Every link between two different sets: a, b (nodes of ``document_sets``), common, joint."""
-    sets = materialise(document_sets(docs, k, percent))
-    return _verified(docs, sets, _joined(_prefixes(docs, sets, k, percent), percent, False), k, percent)
+    frequent = frequent_grams(docs, k)
+    sets = materialise(document_sets(docs, k, frequent))
+    return _verified(docs, sets, _joined(_prefixes(docs, sets, k, percent, frequent), percent, False), k, percent)
 
 
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node, component_id (least doc_id that links reach) of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialise(document_sets(docs, k, percent))
-    prefixes = materialise(_prefixes(docs, sets, k, percent))
+    frequent = frequent_grams(docs, k)
+    sets = materialise(document_sets(docs, k, frequent))
+    prefixes = materialise(_prefixes(docs, sets, k, percent, frequent))
     hub = (prefixes.groupBy("gram").agg(F.min(F.struct("pos", "n", "node", *CELLS)).alias("h"), F.count("*").alias("rows"))
            .where("rows > 1").select("gram", "h.*"))
     meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent)
