@@ -9,9 +9,9 @@ prefix reaches them names them. Two sets that reach the threshold share an n-gra
 three filters before a pair is made: length, position (what can still follow) and suffix (sums of count differences over cells of
 n-grams bound the symmetric difference). Each remaining pair is verified once, on the whole sets.
 
-A large group of near copies links most of its members with each other; its n-grams would emit all pairs. So classes first meet
-one member per prefix n-gram, the verified pairs give components, and only classes of different components meet afterwards. No
-link that changes a component is lost. ``similar_pairs`` leaves this step out and returns every link between classes.
+A large group of near copies links most of its members with each other; its n-grams would emit all pairs. So in the first rounds a
+class meets only one other (the least class of one of its prefix n-grams that has another label), the verified pairs give labels,
+and only classes of different labels meet afterwards, at last all of them. No link that changes a component is lost. ``similar_pairs`` leaves this step out and returns every link between classes.
 
 Defined cases: null and empty texts and texts of white space have an empty set and link with nothing; a text of fewer than n
 words has its whole sequence as its one n-gram; rows with a null id take part and get the least known id of their component, or
@@ -32,6 +32,8 @@ from .common import materialise, mix64, shingle_sets, slices, small_side, utf8_v
 from .components import components
 
 WORDS, PERCENT = 5, 80
+#: Rounds in which every class meets one other; the last, exhaustive one comes after them.
+MEETING_ROUNDS = 3
 #: Documents of the pilot, and the share of its classes from which an n-gram counts as frequent (at least ``FREQUENT_LEAST`` of them).
 PILOT, FREQUENT_SHARE, FREQUENT_LEAST = 4000, 100, 8
 #: About so many n-grams go to a bucket; a bucket is told by the lower 24 bits of a hash, an n-gram in it by the upper 40.
@@ -266,23 +268,43 @@ def similar_pairs(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
     return _verified(docs, sets, _joined(_prefixes(docs, sets, k, percent, frequent), percent, False), k, percent)
 
 
+def _open_rows(prefixes: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Prefix rows with ``label``, of the n-grams that two labels share."""
+    marked = prefixes.withColumn("label", F.col("node")) if label is None else (
+        prefixes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    apart = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+    return marked.join(apart, "gram")
+
+
+def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after more links: only pairs of labels, each once, go through the search for components."""
+    if label is None:
+        return materialise(components(links))
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = materialise(components(pairs.where("a <> b").distinct()))
+    moved = label.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return materialise(moved.unionByName(merged.join(label.select("node"), "node", "left_anti")))
+
+
 def join_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node, component_id (least doc_id that links reach) of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = frequent_grams(docs, k)
     sets = materialise(document_sets(docs, k, frequent))
     prefixes = materialise(_prefixes(docs, sets, k, percent, frequent))
-    hub = (prefixes.groupBy("gram").agg(F.min(F.struct("pos", "n", "node", *CELLS)).alias("h"), F.count("*").alias("rows"))
-           .where("rows > 1").select("gram", "h.*"))
-    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent)
-    stars = prefixes.alias("x").join(hub.alias("y"), meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    first = materialise(_verified(docs, sets, stars, k, percent).select("a", "b"))
-    label = materialise(components(first))
-    marked = prefixes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_grams = marked.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    rest = materialise(marked.join(open_grams, "gram"))
-    second = _verified(docs, sets, _joined(rest, percent, True), k, percent).select("a", "b")
-    label = materialise(components(first.unionByName(second)))
+    label = None
+    for _ in range(MEETING_ROUNDS):  # one partner a class and round: most of a group of near copies comes together
+        marked = _open_rows(prefixes, label)
+        hub = marked.groupBy("gram").agg(F.min(F.struct("node", "label", "pos", "n", *CELLS)).alias("h")).select("gram", "h.*")
+        meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y", percent)
+        met = marked.alias("x").join(hub.alias("y"), meet).groupBy(F.col("x.node").alias("a")).agg(F.min("y.node").alias("b"))
+        links = materialise(_verified(docs, sets, met, k, percent).select("a", "b"))
+        if links.isEmpty():
+            break
+        label = _relabelled(label, links)
+    rest = materialise(_open_rows(prefixes, label))
+    label = _relabelled(label, materialise(_verified(docs, sets, _joined(rest, percent, True), k, percent).select("a", "b")))
     placed = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = placed.where("label is not null").join(least, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "component_id")
