@@ -209,14 +209,13 @@ def _prefixes(docs: DataFrame, sets: DataFrame, k: int, percent: int, frequent:
     shared = _shared_grams(_packed_grams(docs, k, percent, frequent, buckets), buckets)
     listed = shared.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("late", "w", "gram"))).alias("own"))
     classes = sets.where("n > 0").groupBy("node").agg(*[F.max(c).alias(c) for c in ("n", "n_late", *CELLS)])
-    plain = F.size(F.filter("own", lambda x: ~x["late"]))
     # before the shared n-grams stand those of one class, after them the frequent ones
-    ahead = F.col("n") - F.col("n_late") - plain
+    ahead = F.col("n") - F.col("n_late") - F.size(F.filter("own", lambda x: ~x["late"]))
     last = F.col("n") - F.expr(f"(n * {percent} + 99) div 100")
-    places = F.transform("own", lambda x, i: F.struct(x["gram"].alias("gram"), (i + F.when(x["late"], F.col("n") - F.col("n_late") - F.col("plain")).otherwise(F.col("ahead"))).cast("int").alias("pos")))
-    rows = (listed.join(classes, "node").withColumn("plain", plain).withColumn("ahead", ahead).withColumn("last", last)
-            .withColumn("places", F.filter(places, lambda x: x["pos"] <= F.col("last"))))
-    return rows.select("node", "n", *CELLS, F.explode("places").alias("g")).select("g.gram", "node", "g.pos", "n", *CELLS)
+    rows = listed.join(classes, "node").withColumn("ahead", ahead.cast("int"))
+    inside = F.slice("own", F.lit(1), F.greatest(F.lit(0), last - F.col("ahead") + 1).cast("int"))
+    return (rows.select("node", "n", "ahead", *CELLS, F.posexplode(inside).alias("i", "g"))
+            .select("g.gram", "node", (F.col("ahead") + F.col("i")).alias("pos"), "n", *CELLS))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
