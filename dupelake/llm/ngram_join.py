@@ -33,7 +33,7 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Rounds in which every class meets one other; the last, exhaustive one comes after them.
-MEETING_ROUNDS = 3
+MEETING_ROUNDS = 2
 #: Documents of the pilot, and the share of its classes from which an n-gram counts as frequent (at least ``FREQUENT_LEAST`` of them).
 PILOT, FREQUENT_SHARE, FREQUENT_LEAST = 4000, 100, 8
 #: About so many n-grams go to a bucket; a bucket is told by the lower 24 bits of a hash, an n-gram in it by the upper 40.
