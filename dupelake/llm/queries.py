@@ -41,7 +41,20 @@ def op2_toxicity(spark, sf_dir):
         (F.col("toxic_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-@query()
+#: Links are counted on pairs of different sets; each set is one node, and labels pass along the links until nothing new is reached.
+OP3_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+ d AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+  ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END)) AS g FROM w),
+ c AS (SELECT g, min(doc_id) AS node, len(g) AS n FROM d WHERE len(g) > 0 GROUP BY g),
+ s AS (SELECT node, n, unnest(g) AS x FROM c),
+ l AS (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT node, node AS near FROM c UNION SELECT r.node, e.b FROM r JOIN e ON r.near = e.a),
+ k AS (SELECT node, min(near) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, CAST(len(d.g) AS BIGINT) AS n_shingles, coalesce(k.component_id, d.doc_id) AS component_id FROM d LEFT JOIN c ON d.g = c.g LEFT JOIN k ON k.node = c.node"""
+
+
+@query(OP3_SQL)
 def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.join_components(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
