@@ -238,11 +238,14 @@ def results_after_removal(spark, sf):
     return M.remove_results(it, it.where("kbps > 2500")).select("path")
 
 
-@query(f"SELECT count(*) AS removed, CAST(sum(greatest(size, 0)) AS BIGINT) AS freed_bytes FROM {I} WHERE checked AND size % 5 <> 0")
+@query(f"""WITH k AS (SELECT group_id, path FROM {I} WHERE NOT (checked AND size % 5 <> 0))
+SELECT 'left' AS part, group_id, path, NULL AS removed, NULL AS freed_bytes FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM k) WHERE n > 1
+UNION ALL SELECT 'freed', NULL, NULL, count(*), CAST(sum(greatest(size, 0)) AS BIGINT) FROM {I} WHERE checked AND size % 5 <> 0""")
 def deletion_outcome(spark, sf):
+    """The result rows that stay after the deletions, and one row of totals."""
     it = items(spark, sf)
-    _, freed = S.deletion_outcome(it, it.where("checked").select("path", (F.col("size") % 5 != 0).alias("ok")))
-    return freed
+    left, freed = S.deletion_outcome(it, it.where("checked").select("path", (F.col("size") % 5 != 0).alias("ok")))
+    return left.select(F.lit("left").alias("part"), "group_id", "path").unionByName(freed.withColumn("part", F.lit("freed")), allowMissingColumns=True)
 
 
 # --- text and metadata functions ----------------------------------------------------------------------------------

@@ -110,22 +110,69 @@ def _sets(spark, sf, threshold=4.0):
     return it, matches, rel, sets, cut_lineage(FO.assign_groups(sets, matches))
 
 
+def _sets_sql(threshold: float) -> str:
+    """Directed relations, their sets by shared groups and the set of each group, after the views of ``_S``, ``_PAIRS`` and ``_COVER``."""
+    side = lambda n, a, b: f"CASE WHEN to_a THEN {a} ELSE {b} END AS target_{n}, CASE WHEN to_a THEN {b} ELSE {a} END AS source_{n}"
+    return f"""ar AS (SELECT folder_a, folder_b, count(*) FILTER (auto_review) AS open_groups FROM m GROUP BY 1, 2),
+ fb AS (SELECT folder, CAST(sum(greatest(size, 0)) AS BIGINT) AS bytes FROM s GROUP BY 1),
+ pk AS (SELECT dr.*, open_groups, ba.bytes AS ba, bb.bytes AS bb, row_number() OVER (ORDER BY greatest(va, vb) DESC, confirmed_groups DESC, groups - confirmed_groups, least(va, vb) DESC,
+  greatest(ra, rb) DESC, lower(folder_a), lower(folder_b), folder_a, folder_b) AS pair_rank FROM dr JOIN ar USING (folder_a, folder_b) JOIN fb ba ON ba.folder = folder_a JOIN fb bb ON bb.folder = folder_b),
+ di AS (SELECT *, least(va, vb) AS match_percent, CASE WHEN (va >= 90) <> (vb >= 90) THEN NOT (va >= 90) WHEN NOT (va >= 90) AND NOT (vb >= 90) AND abs(va - vb) > 0.0001 THEN va > vb
+  WHEN ra <> rb THEN ra > rb WHEN ta <> tb THEN ta > tb ELSE suggest_a END AS to_a FROM pk WHERE least(va, vb) + 0.0001 >= {threshold}),
+ rel AS MATERIALIZED (SELECT folder_a, folder_b, pair_rank, match_percent, confirmed_groups, open_groups, {side("folder", "folder_a", "folder_b")}, {side("files", "ta", "tb")},
+  {side("bytes", "ba", "bb")}, {side("resources", "ra", "rb")}, {side("coverage", "va", "vb")} FROM di),
+ rm AS MATERIALIZED (SELECT rel.pair_rank, lower(target_folder) AS tk, m.group_id, m.review_only, m.auto_review FROM rel JOIN m USING (folder_a, folder_b)),
+ nx AS MATERIALIZED (SELECT DISTINCT a.pair_rank AS a, b.pair_rank AS b FROM rm a JOIN rm b ON a.tk = b.tk AND a.group_id = b.group_id),
+ rc AS (SELECT pair_rank, pair_rank AS near FROM rel UNION SELECT rc.pair_rank, nx.b FROM rc JOIN nx ON nx.a = rc.near),
+ nm AS (SELECT pair_rank, min('g|' || tk || '|' || group_id) AS least_group FROM rm GROUP BY 1),
+ st_ AS (SELECT rc.pair_rank, min(nm.least_group) AS set_id, min(rc.near) AS set_first FROM rc JOIN nm ON nm.pair_rank = rc.near GROUP BY 1),
+ sets AS MATERIALIZED (SELECT rel.*, set_id, set_first, min(rel.pair_rank) OVER (PARTITION BY lower(target_folder)) AS target_first FROM rel JOIN st_ USING (pair_rank)),
+ sm AS MATERIALIZED (SELECT sets.set_id, rm.*, target_first, set_first FROM sets JOIN rm USING (pair_rank)),
+ asg AS MATERIALIZED (SELECT group_id, set_id FROM (SELECT DISTINCT group_id, set_id, target_first, set_first FROM sm) QUALIFY row_number() OVER (PARTITION BY group_id
+  ORDER BY target_first, set_first, set_id) = 1)"""
+
+
+_HEADERS = """shn AS (SELECT sm.* FROM sm JOIN asg USING (group_id, set_id)), us AS (SELECT * FROM sets WHERE pair_rank IN (SELECT pair_rank FROM shn)),
+ be AS (SELECT * FROM us QUALIFY row_number() OVER (PARTITION BY set_id, lower(source_folder) ORDER BY match_percent DESC, source_coverage DESC, confirmed_groups DESC, pair_rank) = 1),
+ rg AS (SELECT set_id, count(*) AS displayed_groups, count(*) FILTER (rev) AS review_matches FROM (SELECT set_id, group_id, bool_or(auto_review) AS rev FROM shn GROUP BY 1, 2) GROUP BY 1),
+ al AS (SELECT set_id, count(DISTINCT group_id) AS relation_groups FROM sm GROUP BY 1),
+ tg AS (SELECT set_id, min(target_folder) AS target_folder, max(target_files) AS target_files, max(target_bytes) AS target_bytes, max(target_resources) AS target_resources FROM us GROUP BY 1),
+ so AS (SELECT set_id, count(*) AS sources, CAST(sum(source_files) AS BIGINT) AS source_files, CAST(sum(source_bytes) AS BIGINT) AS source_bytes, CAST(sum(source_resources) AS BIGINT) AS source_resources,
+  min(target_coverage) AS target_coverage, min(source_coverage) AS source_coverage, min(match_percent) AS min_match, bool_and(source_coverage >= 90 AND open_groups = 0) AS ws FROM be GROUP BY 1),
+ hd AS (SELECT tg.*, so.* EXCLUDE (set_id, ws), displayed_groups, review_matches, relation_groups, displayed_groups - review_matches AS confirmed_matches, ws AND review_matches = 0 AS whole_source
+  FROM tg JOIN so USING (set_id) JOIN rg USING (set_id) JOIN al USING (set_id))"""
+_RATES = ("target_coverage", "source_coverage", "min_match")
+
+
+@query(f"""WITH RECURSIVE {_S}, {_PAIRS}, {_COVER}, {_sets_sql(4.0)}, {_HEADERS}
+SELECT * REPLACE ({", ".join(f"round({c}, 5) AS {c}" for c in _RATES)}) FROM hd""")
 def relation_headers(spark, sf):
     it, matches, rel, sets, assigned = _sets(spark, sf)
-    return FO.relation_headers(sets, matches, assigned)
+    heads = FO.relation_headers(sets, matches, assigned)
+    return heads.select(*[F.round(c, 5).alias(c) if c in _RATES else c for c in heads.columns])
+
+
+@query(f"""WITH RECURSIVE {_S}, {_PAIRS}, {_COVER}, {_sets_sql(4.0)}
+SELECT set_id, target_folder, source_folder, set_first, target_first, source_coverage >= 90 AND open_groups = 0 AS whole_source FROM sets""")
+def relation_sets(spark, sf):
+    """Which relations of one target hang together by shared groups."""
+    sets = _sets(spark, sf)[3]
+    return sets.select("set_id", "target_folder", "source_folder", "set_first", "target_first", "whole_source")
 
 
-query()(relation_headers)
+@query(f"WITH RECURSIVE {_S}, {_PAIRS}, {_COVER}, {_sets_sql(4.0)} SELECT group_id, set_id FROM asg")
+def assigned_groups(spark, sf):
+    """The one relation set that shows each group."""
+    return _sets(spark, sf)[4].select("group_id", "set_id")
 
 
+@query(f"""WITH RECURSIVE {_S}, {_PAIRS}, {_COVER}, {_sets_sql(4.0)}, u AS (SELECT * FROM s WHERE group_id NOT IN (SELECT group_id FROM asg))
+SELECT count(DISTINCT group_id) AS groups, count(*) AS files, CAST(coalesce(sum(greatest(size, 0)), 0) AS BIGINT) AS bytes FROM u""")
 def unassigned_groups(spark, sf):
     it, matches, rel, sets, assigned = _sets(spark, sf)
     return S.unassigned_summary(it, assigned)
 
 
-query()(unassigned_groups)
-
-
 def _sql_merge(order: str) -> str:
     return f"""WITH {_S}, {_PAIRS}, {_COVER}, d AS (SELECT *, CASE WHEN (va >= 90) <> (vb >= 90) THEN NOT (va >= 90) WHEN NOT (va >= 90) AND NOT (vb >= 90) AND abs(va - vb) > 0.0001 THEN va > vb
   WHEN ra <> rb THEN ra > rb WHEN ta <> tb THEN ta > tb ELSE suggest_a END AS to_a FROM dr WHERE least(va, vb) + 0.0001 >= 4),

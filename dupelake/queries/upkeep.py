@@ -122,9 +122,9 @@ def merge_counters(spark, sf):
     return G.merge_counters(e, ids.withColumn("group_id", F.col("rep_id") % 7))
 
 
-@query(f"""SELECT group_id, count(*) FILTER (size % 3 = 0) AS transcode, count(*) FILTER (size % 3 <> 0) AS watermark FROM {I} WHERE size % 4 = 0 GROUP BY 1""")
+@query(f"""SELECT group_id, count(*) FILTER (size % 3 = 0) AS transcode, count(*) FILTER (size % 3 <> 0) AS watermark FROM {I} GROUP BY 1""")
 def quality_warnings(spark, sf):
-    found = items(spark, sf).where("size % 4 = 0").select("group_id", (F.col("size") % 3 == 0).alias("transcode"), (F.col("size") % 3 != 0).alias("watermark"))
+    found = items(spark, sf).select("group_id", (F.col("size") % 3 == 0).alias("transcode"), (F.col("size") % 3 != 0).alias("watermark"))
     return QU.warning_summary(found)
 
 
