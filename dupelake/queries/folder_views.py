@@ -9,7 +9,7 @@ from ..operators.relocate import owning_root
 from ..plans.skew import cut_lineage
 from . import query
 from .derive import ITEMS_SQL, MEDIA_SQL, items, media
-from .ranked import BPP, DOM, SMOOTH_SQL, smooth
+from .ranked import BPP, DOM, SCORES_SQL, SMOOTH_SQL, decisive_sql, smooth
 
 D, I = MEDIA_SQL, ITEMS_SQL
 
@@ -223,28 +223,82 @@ def folder_pair_consolidation(spark, sf):
     return rows.select("target_folder", "source_folder", "group_id", "path", "action", "move").unionByName(more)
 
 
-def series_consolidation(spark, sf):
+#: The owning root of a file is the longest root of its set that is its folder or above it.
+_ROWS = """ro AS (SELECT set_id, lower(root) AS rk, root, root_order, role FROM (SELECT set_id, target_folder AS root, 0 AS root_order, 'target' AS role FROM sets
+  UNION ALL SELECT set_id, source_folder, pair_rank, 'source' FROM sets) QUALIFY row_number() OVER (PARTITION BY set_id, lower(root) ORDER BY root_order, role, root) = 1),
+ ow AS (SELECT x.set_id, folder, root, root_order, role FROM (SELECT DISTINCT set_id, folder FROM s JOIN asg USING (group_id)) x JOIN ro ON ro.set_id = x.set_id
+  AND (lower(folder) = rk OR starts_with(lower(folder), rk || '/')) QUALIFY row_number() OVER (PARTITION BY x.set_id, folder ORDER BY length(rk) DESC) = 1),
+ fr AS MATERIALIZED (SELECT s.*, asg.set_id, coalesce(role, 'related') AS role, coalesce(root, s.folder) AS relation_root, coalesce(root_order, 2147483647) AS root_order
+  FROM s JOIN asg USING (group_id) LEFT JOIN ow ON ow.set_id = asg.set_id AND ow.folder = s.folder)"""
+
+
+@query(f"""WITH RECURSIVE {_S}, {_PAIRS}, {_COVER}, {_sets_sql(4.0)}, {_ROWS} SELECT set_id, group_id, path, role, relation_root, root_order FROM fr""")
+def relation_folder_rows(spark, sf):
+    """The items of assigned groups under the root of their relation set that owns them."""
     it, matches, rel, sets, assigned = _sets(spark, sf)
-    heads = FO.relation_headers(sets, matches, assigned)
-    dest = FO.series_destinations(heads.select("set_id", "target_folder").withColumn(
-        "target_folder", F.concat("target_folder", F.lit("-"), F.sha2("set_id", 256))), "/merged")
-    return FO.series_plan(it, sets, assigned, matches, dest, it.select("path"))
+    return FO.folder_rows(it, sets, assigned).select("set_id", "group_id", "path", "role", "relation_root", "root_order")
 
 
-query()(series_consolidation)
+#: A keeper goes below the destination of its set, by its path below the owning root; a place taken by another file or group is a conflict.
+_PLAN = f"""{_HEADERS}, de AS (SELECT set_id, CASE WHEN count(*) OVER () = 1 THEN '/merged' ELSE '/merged/' || regexp_replace(target_folder, '^.*/', '') || '-' || sha256(set_id) END AS base FROM hd),
+ cr AS MATERIALIZED (SELECT * EXCLUDE (bpp) FROM fr WHERE role <> 'related'),
+ sw AS (SELECT group_id, set_id, bool_or(review_only) AS rev FROM shn GROUP BY 1, 2),
+ dc AS (WITH {decisive_sql("cr")} SELECT group_id, winner FROM dw),
+ gk AS MATERIALIZED (SELECT cr.*, rev, CASE WHEN NOT rev THEN dc.winner END AS k, CASE WHEN NOT rev AND dc.winner = path THEN base || substr(path, length(relation_root) + 1) END AS dest
+  FROM cr JOIN sw USING (group_id, set_id) JOIN de USING (set_id) LEFT JOIN dc USING (group_id)),
+ ks AS (SELECT *, min(group_id) OVER (PARTITION BY set_id, dest) AS first_group FROM gk WHERE path = k),
+ bd AS (SELECT set_id, group_id, (dest IN (SELECT path FROM s) AND NOT EXISTS (SELECT 1 FROM cr WHERE cr.group_id = ks.group_id AND cr.set_id = ks.set_id AND cr.path = dest)) OR first_group <> group_id AS clash FROM ks),
+ pn AS (SELECT gk.*, CASE WHEN k IS NULL THEN CASE WHEN rev THEN 'review_only' ELSE 'no_decisive_best' END WHEN clash THEN 'path_conflict' END AS reason FROM gk LEFT JOIN bd USING (set_id, group_id)),
+ plan AS MATERIALIZED (SELECT set_id, group_id, path, size, CASE WHEN reason IS NOT NULL THEN 'review' WHEN path = k THEN 'keep' ELSE 'remove' END AS action, reason, relation_root AS source_root,
+  CASE WHEN reason IS NULL AND path = k THEN dest END AS destination, coalesce(reason IS NULL AND path = k AND dest <> path, false) AS move FROM pn)"""
+_PLAN_SQL = f"WITH RECURSIVE {_S}, {_PAIRS}, {_COVER}, {_sets_sql(4.0)}, {_ROWS}, {_PLAN}"
 
 
-def series_consolidation_totals(spark, sf):
+def _series(spark, sf):
     it, matches, rel, sets, assigned = _sets(spark, sf)
     heads = FO.relation_headers(sets, matches, assigned)
     dest = FO.series_destinations(heads.select("set_id", "target_folder").withColumn(
         "target_folder", F.concat("target_folder", F.lit("-"), F.sha2("set_id", 256))), "/merged")
     listing = it.select("path")
-    plan = cut_lineage(FO.series_plan(it, sets, assigned, matches, dest, listing))
-    return FO.consolidation_preview(plan, FO.series_unique_files(it, sets, plan, dest, listing))
+    plan = FO.series_plan(it, sets, assigned, matches, dest, listing).withColumn("move", F.coalesce("move", F.lit(False)))
+    return it, sets, dest, listing, plan
 
 
-query()(series_consolidation_totals)
+@query(f"{_PLAN_SQL} SELECT * FROM plan")
+def series_consolidation(spark, sf):
+    return _series(spark, sf)[-1]
+
+
+_UNIQUE = """ub AS (SELECT set_id, lower(root) AS rk, min(root) AS root, bool_or(bring) AS bring FROM (SELECT set_id, target_folder AS root, true AS bring FROM sets
+  UNION ALL SELECT set_id, source_folder, source_coverage >= 90 AND open_groups = 0 FROM sets) GROUP BY 1, 2),
+ uo AS (SELECT folder, set_id, root, bring FROM (SELECT DISTINCT folder FROM s) x JOIN ub ON lower(folder) = rk OR starts_with(lower(folder), rk || '/')
+  QUALIFY row_number() OVER (PARTITION BY folder, set_id ORDER BY length(rk) DESC) = 1),
+ uf AS (SELECT s.path, greatest(s.size, 0) AS size, uo.set_id, bring, CASE WHEN starts_with(s.path, root || '/') THEN base || substr(s.path, length(root) + 1) END AS target
+  FROM s JOIN uo USING (folder) JOIN de USING (set_id) WHERE NOT EXISTS (SELECT 1 FROM plan WHERE plan.set_id = uo.set_id AND plan.path = s.path)),
+ ut AS (SELECT *, min(CASE WHEN bring THEN path END) OVER (PARTITION BY set_id, target) AS first_path FROM uf),
+ uq AS MATERIALIZED (SELECT set_id, path, size, CASE WHEN NOT bring THEN 'skipped' WHEN target = path THEN 'in_place' WHEN target IS NULL OR target IN (SELECT path FROM s) OR first_path <> path
+  OR EXISTS (SELECT 1 FROM plan WHERE plan.set_id = ut.set_id AND plan.destination = target) THEN 'conflict' ELSE 'move' END AS state, target FROM ut)"""
+
+
+@query(f"{_PLAN_SQL}, {_UNIQUE} SELECT set_id, path, size, state, CASE WHEN state = 'move' THEN target END AS destination FROM uq")
+def series_unique_files(spark, sf):
+    """The files of the relation roots that match nothing, and whether they come along."""
+    it, sets, dest, listing, plan = _series(spark, sf)
+    return FO.series_unique_files(it, sets, plan, dest, listing)
+
+
+@query(f"""{_PLAN_SQL}, {_UNIQUE}, pf AS (SELECT path, max(greatest(size, 0)) AS size, bool_or(action = 'remove') AS rm FROM plan GROUP BY 1),
+ a AS (SELECT count(*) AS matched_files, CAST(sum(size) AS BIGINT) AS matched_bytes, count(*) FILTER (rm) AS remove_files, CAST(sum(CASE WHEN rm THEN size ELSE 0 END) AS BIGINT) AS reclaim_bytes FROM pf),
+ b AS (SELECT count(*) AS groups, count(*) FILTER (ok) AS executable_groups, count(*) FILTER (mv) AS keeper_moves, count(*) FILTER (NOT ok) AS review_groups, count(*) FILTER (cf) AS conflict_groups
+  FROM (SELECT bool_or(move) AS mv, bool_or(action = 'keep') AS ok, coalesce(bool_or(reason = 'path_conflict'), false) AS cf FROM plan GROUP BY set_id, group_id)),
+ c AS (SELECT count(*) FILTER (state = 'move') AS unique_moves, count(*) FILTER (state = 'skipped') AS unique_skipped, count(*) FILTER (state = 'conflict') AS unique_conflicts,
+  CAST(coalesce(sum(size), 0) AS BIGINT) AS unique_bytes, count(*) AS unique_files FROM uq)
+SELECT *, CAST(0 AS BIGINT) AS reclaim_user_bytes, matched_files + unique_files AS before_files, matched_bytes + unique_bytes AS before_bytes, matched_files + unique_files - remove_files AS after_files,
+ matched_bytes + unique_bytes - reclaim_bytes AS after_bytes, reclaim_bytes AS reclaim_auto_bytes FROM a, b, c""")
+def series_consolidation_totals(spark, sf):
+    it, sets, dest, listing, plan = _series(spark, sf)
+    plan = cut_lineage(plan)
+    return FO.consolidation_preview(plan, FO.series_unique_files(it, sets, plan, dest, listing))
 
 
 @query(f"""WITH k AS (SELECT group_id, min(path) AS kp, count(*) AS n FROM {I} GROUP BY 1 HAVING count(*) > 1), c AS (SELECT i.group_id, i.path, i.size, i.path = kp AS keep, '/final/' || i.group_id || '.mp4' AS dest
@@ -271,9 +325,25 @@ def single_group_plans(spark, sf):
     return FO.single_group_plan(it, ch, it.where("size % 13 <> 0").select("path"))
 
 
-def anchor_suggestions(spark, sf):
-    it, matches, rel, sets, assigned = _sets(spark, sf, 0.0)
-    return FO.anchor_suggestion(it, R.recommend_best(it), rel, matches)
+#: Whole volumes as folders and every item a plain video, so that relations reach the half that an anchor asks for.
+_VOLUMES = f"""s AS MATERIALIZED (SELECT * EXCLUDE (path, folder, flags, is_image), 0 AS flags, false AS is_image, regexp_replace(folder, '/s[0-9]+/d[0-9]+$', '') AS folder,
+ regexp_replace(path, '/s[0-9]+/d[0-9]+/', '/') AS path, {BPP} AS bpp FROM {SMOOTH_SQL})"""
+_PLAIN = "(SELECT * EXCLUDE (bpp) FROM s)"
 
 
-query()(anchor_suggestions)
+@query(f"""WITH RECURSIVE {_VOLUMES}, {_PAIRS}, {_COVER}, {_sets_sql(50.0)},
+ wi AS (WITH {decisive_sql(_PLAIN)}, {SCORES_SQL.replace(I, _PLAIN)}, l AS (SELECT sc.group_id, sc.path FROM sc JOIN sc0 ON sc.path = sc0.path QUALIFY row_number() OVER (PARTITION BY sc.group_id
+  ORDER BY score DESC, frame_size_int DESC, hr DESC, kbps DESC, greatest(size, 0) DESC, sc.path) = 1) SELECT l.group_id, coalesce(dw.winner, l.path) AS best FROM l LEFT JOIN dw USING (group_id)),
+ j AS (SELECT rm.group_id, rm.pair_rank, target_folder, best, s.path, starts_with(lower(s.path), lower(target_folder) || '/') AND s.path <> best AS other FROM rm JOIN rel USING (pair_rank)
+  JOIN wi USING (group_id) JOIN s USING (group_id)),
+ o AS (SELECT group_id, pair_rank, best, starts_with(lower(best), lower(target_folder) || '/') AS best_in, count(*) FILTER (other) AS n, min(path) FILTER (other) AS one FROM j GROUP BY 1, 2, 3, 4),
+ z AS (SELECT group_id, pair_rank, CASE WHEN NOT best_in THEN one END AS anchor, CASE WHEN best_in THEN best ELSE regexp_replace(one, '[.][^.]*$', '') || lower(regexp_extract(best, '[.][^./]*$')) END AS destination
+  FROM o WHERE best_in OR n = 1)
+SELECT group_id, anchor, destination FROM z QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY pair_rank) = 1 AND min(destination) OVER (PARTITION BY group_id) = max(destination) OVER (PARTITION BY group_id)""")
+def anchor_suggestions(spark, sf):
+    it = smooth(items(spark, sf)).withColumn("path", F.regexp_replace("path", "/s[0-9]+/d[0-9]+/", "/")).withColumn(
+        "folder", F.regexp_replace("folder", "/s[0-9]+/d[0-9]+$", "")).withColumn("flags", F.lit(0)).withColumn("is_image", F.lit(False))
+    it = cut_lineage(it)
+    matches = cut_lineage(FO.folder_pair_matches(it))
+    rel = FO.directed_relations(FO.rank_folder_pairs(FO.folder_pairs(matches, it, FO.folder_stats(it))), 0.0)
+    return FO.anchor_suggestion(it, R.recommend_best(it), rel, matches)
