@@ -204,15 +204,37 @@ def likely_winner(spark, sf):
     return R.likely_winner(items(spark, sf))
 
 
+def _leads(name: str, col: str, rel: float, absolute: float, positive: bool = True) -> str:
+    """The name if the winner ``w`` has the group's highest value and clearly more than the lowest known one."""
+    low = f"min(CASE WHEN {col} > 0 THEN {col} END)" if positive else f"min({col})"
+    of = lambda agg: f"(SELECT {agg} FROM sc0 x WHERE x.group_id = w.group_id)"
+    known = f"w.{col} > 0 AND " if positive else ""
+    return f"CASE WHEN {known}w.{col} = {of(f'max({col})')} AND w.{col} > {of(low)} * (1 + {rel}) + {absolute} THEN '{name}' END"
+
+
+_STRENGTHS = ", ".join([_leads("resolution", "frame_size_int", 0.0, 0.0), _leads("dynamic_range", "hr", 0.0, 0.0, False), _leads("bitrate", "kbps", 0.05, 0.0),
+                        _leads("bits_per_pixel", "bpp", 0.05, 0.0), _leads("frame_rate", "fps", 0.0, 0.5), _leads("audio_bitrate", "audio_kbps", 0.05, 0.0)])
+
+
+@query(f"""WITH {SCORES_SQL}, ra AS (SELECT group_id, count(*) AS n, bool_or((flags & 4) <> 0) AS ai, bool_or((flags & 2) <> 0) AS clip, bool_or((flags & 1) <> 0) AS flip, bool_or(is_image) AS img,
+  max(duration_s) - min(duration_s) > greatest(1.0, max(duration_s) * 0.01) AS spread, min(format) <> max(format) AS codecs, min(hdr) <> max(hdr) AS mixed_hdr, max(fps) - min(fps) > 0.5 AS rates
+  FROM sc0 GROUP BY 1),
+ dw AS (SELECT a.group_id, a.path AS winner FROM sc0 a JOIN ra ON ra.group_id = a.group_id AND NOT (n < 2 OR ai OR clip OR flip OR img OR spread OR codecs OR mixed_hdr OR rates)
+  JOIN sc0 b ON a.group_id = b.group_id AND a.path <> b.path GROUP BY 1, 2 HAVING bool_and({DOM})),
+ l AS (SELECT sc.group_id, sc.path FROM sc JOIN sc0 ON sc.path = sc0.path QUALIFY row_number() OVER (PARTITION BY sc.group_id ORDER BY score DESC, frame_size_int DESC, hr DESC, kbps DESC,
+  greatest(size, 0) DESC, sc.path) = 1),
+ e AS (SELECT ra.*, coalesce(dw.winner, l.path) AS winner, n = 1 OR dw.winner IS NOT NULL AS confirmed FROM ra JOIN l USING (group_id) LEFT JOIN dw USING (group_id)),
+ t AS (SELECT e.*, list_filter([{_STRENGTHS}], lambda v: v IS NOT NULL)[1:4] AS found, w.size = (SELECT max(size) FROM sc0 x WHERE x.group_id = w.group_id) AND w.size > (SELECT min(size) FROM sc0 x
+  WHERE x.group_id = w.group_id) AS largest FROM e JOIN sc0 w ON w.group_id = e.group_id AND w.path = e.winner)
+SELECT group_id, winner, confirmed, CASE WHEN n = 1 THEN 'only_copy' WHEN confirmed THEN 'dominates' WHEN clip THEN 'partial_clip' WHEN ai THEN 'ai_match' WHEN flip THEN 'flipped'
+ WHEN img AND codecs THEN 'image_formats' WHEN img THEN 'image_unproven' WHEN spread THEN 'duration_spread' WHEN codecs THEN 'codecs' WHEN mixed_hdr THEN 'hdr' ELSE 'trade_off' END AS reason,
+ CASE WHEN len(found) > 0 THEN array_to_string(found, ',') WHEN largest THEN 'size' ELSE 'tied' END AS strengths FROM t""")
 def recommend_best_with_reasons(spark, sf):
     it = items(spark, sf)
     rec = R.recommend_best(it)
     return rec.join(R.winner_strengths(it, rec).select("group_id", F.array_join("strengths", ",").alias("strengths")), "group_id")
 
 
-query()(recommend_best_with_reasons)
-
-
 @query(f"""SELECT path, round(CASE WHEN m1 > 0 THEN size * 100.0 / m1 END, 4) AS size_pct, round(duration_s * 100.0 / m2, 4) AS duration_s_pct,
  round(kbps * 100.0 / m3, 4) AS kbps_pct, round(fps * 100.0 / m4, 4) AS fps_pct, round(frame_size_int * 100.0 / m5, 4) AS frame_size_int_pct
  FROM (SELECT *, max(size) OVER w m1, max(duration_s) OVER w m2, max(kbps) OVER w m3, max(fps) OVER w m4, max(frame_size_int) OVER w m5
