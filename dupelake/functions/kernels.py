@@ -51,44 +51,70 @@ def phash(gray: pd.Series) -> pd.Series:
     return out
 
 
+def by_length(values: pd.Series, empty, fn) -> list:
+    """``fn`` over (n, length) stacks of the byte strings of equal length; ``empty`` for missing and empty ones."""
+    out = [empty] * len(values)
+    lengths: dict[int, list[int]] = {}
+    for i, b in enumerate(values):
+        if b is not None and len(b):
+            lengths.setdefault(len(b), []).append(i)
+    for n, at in lengths.items():
+        for i, v in zip(at, fn(stack_frames([values.iat[i] for i in at], n))):
+            out[i] = v
+    return out
+
+
+def _square(x: np.ndarray) -> int:
+    side = math.isqrt(x.shape[1])
+    return side if side * side == x.shape[1] else 0
+
+
 @F.pandas_udf(T.BinaryType())
 def flip(gray: pd.Series) -> pd.Series:
-    """Mirror each row of a square frame."""
-    def one(b):
-        side = math.isqrt(len(b)) if b is not None else 0
-        return mirror_batch(np.frombuffer(b, np.uint8)[None, :], side).tobytes() if side and side * side == len(b) else None
-    return gray.map(one)
+    """Mirror each row of a square frame; null for others."""
+    def many(x):
+        side = _square(x)
+        return [row.tobytes() for row in mirror_batch(x, side)] if side else [None] * len(x)
+    return pd.Series(by_length(gray, None, many), dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def mirrored_hashes(gray: pd.Series) -> pd.Series:
+    """Hashes of the mirrored frames of one file each; ``gray`` holds its 32x32 frames one after the other."""
+    frames = np.frombuffer(b"".join(gray), np.uint8).reshape(-1, FRAME_PIXELS)
+    hashes = phash_batch(np.ascontiguousarray(mirror_batch(frames))) if len(frames) else np.zeros(0, np.int64)
+    ends = np.cumsum([len(b) // FRAME_PIXELS for b in gray])
+    return pd.Series(np.split(hashes, ends[:-1]) if len(ends) else [])
 
 
 @F.pandas_udf(T.BooleanType())
 def is_dark(gray: pd.Series) -> pd.Series:
     """At least 80 % of the pixels are near black."""
-    return gray.map(lambda b: None if b is None or not len(b) else
-                    bool((np.frombuffer(b, np.uint8) <= DARK_LEVEL).sum() >= DARK_SHARE * len(b)))
+    def many(x):
+        return ((x <= DARK_LEVEL).sum(axis=1) >= DARK_SHARE * x.shape[1]).tolist()
+    return pd.Series(by_length(gray, None, many), dtype=object)
 
 
 @F.pandas_udf(T.BooleanType())
 def is_dark_rgb(rgb: pd.Series) -> pd.Series:
     """RGB form: a pixel counts as dark only when all three channels are."""
-    def one(b):
-        if b is None or not len(b):
-            return None
-        px = np.frombuffer(b, np.uint8)[: len(b) // 3 * 3].reshape(-1, 3)
-        return bool((px <= DARK_LEVEL).all(axis=1).sum() >= DARK_SHARE * len(px))
-    return rgb.map(one)
+    def many(x):
+        px = x[:, : x.shape[1] // 3 * 3].reshape(len(x), -1, 3)
+        return ((px <= DARK_LEVEL).all(axis=2).sum(axis=1) >= DARK_SHARE * px.shape[1]).tolist()
+    return pd.Series(by_length(rgb, None, many), dtype=object)
 
 
 @F.pandas_udf(T.DoubleType())
 def frame_detail(gray: pd.Series) -> pd.Series:
-    """Mean absolute difference to the right and lower neighbour."""
-    def one(b):
-        side = math.isqrt(len(b)) if b is not None else 0
-        if side <= 1 or side * side != len(b):
-            return 0.0
-        x = np.frombuffer(b, np.uint8).reshape(side, side).astype(np.int32)
-        total = np.abs(np.diff(x, axis=0)).sum() + np.abs(np.diff(x, axis=1)).sum()
-        return float(total) / (2 * side * (side - 1))
-    return gray.map(one)
+    """Mean absolute difference to the right and lower neighbour; 0 for frames that are not square."""
+    def many(x):
+        side = _square(x)
+        if side <= 1:
+            return [0.0] * len(x)
+        x = x.reshape(-1, side, side).astype(np.int32)
+        total = np.abs(np.diff(x, axis=1)).sum(axis=(1, 2)) + np.abs(np.diff(x, axis=2)).sum(axis=(1, 2))
+        return (total / (2 * side * (side - 1))).tolist()
+    return pd.Series(by_length(gray, 0.0, many), dtype=float)
 
 
 def sad_fraction(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -180,42 +180,65 @@ def hash_band_keys(phash, samples: int, cfg: ScanConfig) -> Column:
     return F.array(*keys)
 
 
-def hash_pairs(files: DataFrame, cfg: ScanConfig, samples: int) -> DataFrame:
-    """Exact hash-quorum self join, scored in the JVM.
+#: Duration buckets per cell of the hash join: rows of one hash meet only near their own duration, at one copy in four more.
+CELL_BUCKETS = 4
+
+
+def hash_pairs(files: DataFrame, cfg: ScanConfig, samples: int, mirrored: bool = False) -> DataFrame:
+    """Exact hash-quorum self join, scored in the JVM where the keys meet.
 
     ``files``: file_id, path, duration_s, phash array (plus folder/size/dev/inode for the gates). Returns
-    a, b (a first by path), diff, matches.
+    a, b (a first by path), diff, matches. With ``mirrored`` the array ``phash_flip`` of a meets ``phash`` of b.
+
+    Key rows carry the hashes, so a meeting is judged at once; a pair that shares several keys counts at the first of
+    them only, which needs no distinct. A boolean column ``is_new`` leaves pairs of known files out.
     """
-    # keys over two positions are selective by themselves; single-position keys also carry the duration bucket
-    paired = required_matches(samples, cfg.quorum_ratio) > 1
-    delta_join = "is_new" in files.columns  # only pairs with a new file: new rows probe all rows
-    deltas = ([-1, 0, 1] if delta_join else [0, 1]) if bucket_reach(cfg) and not paired else [0]
-    base = (files.withColumn("bk", F.lit(0).cast("bigint") if paired else duration_bucket("duration_s", cfg))
-            .withColumn("fk", folder_key("folder", cfg) if cfg.folder_mode != "none" else F.lit("")))
-    # only (key, id) rows are shuffled for the self join; features come back once per distinct candidate pair
-    keyed = base.select("file_id", "bk", "fk", *(["is_new"] if delta_join else []), F.explode(hash_band_keys("phash", samples, cfg)).alias("key"))
-    gate = ["fk"] if cfg.folder_mode == "same" else []
-    left = (keyed.where("is_new") if delta_join else keyed).select("key", "bk", *gate, F.col("file_id").alias("x"))
-    right = (keyed.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in deltas])))
-             .select("key", (F.col("bk") - F.col("delta")).alias("bk"), *gate, F.col("file_id").alias("y"), "delta"))
-    once = F.lit(True) if delta_join else (F.col("delta") == 1) | (F.col("x") < F.col("y"))
-    ids = (left.join(right, ["key", "bk", *gate]).where(once)
-           .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
-    bits = allowed_bits(cfg.percent)
-    keep = ["file_id", "path", "duration_s", "phash", "fk", *[c for c in ("size", "dev", "inode") if c in base.columns]]
-    l, r = base.select(*keep).alias("l"), base.select(*keep).alias("r")
-    pairs = ids.join(l, F.col("x") == F.col("l.file_id")).join(r, F.col("y") == F.col("r.file_id"))
-    dist = F.zip_with("l.phash", "r.phash", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    pairs = (pairs.where(within_tolerance("l.duration_s", "r.duration_s", cfg))
-             .withColumn("dist", dist)
-             .withColumn("matches", F.size(F.filter("dist", lambda d: d <= bits)))
-             .where(F.col("matches") >= required_matches(samples, cfg.quorum_ratio))
-             .where(not_same_file("l", "r", cfg)))
-    if cfg.folder_mode == "different":
-        pairs = pairs.where(F.col("l.fk") != F.col("r.fk"))
-    first = F.struct("l.path", "l.file_id") < F.struct("r.path", "r.file_id")
-    diff = F.aggregate("dist", F.lit(0), lambda s, x: s + x) / F.lit(64.0 * samples)
-    return (pairs.select(
-        F.when(first, F.col("l.file_id")).otherwise(F.col("r.file_id")).alias("a"),
-        F.when(first, F.col("r.file_id")).otherwise(F.col("l.file_id")).alias("b"),
-        diff.cast("float").alias("diff"), "matches"))
+    reach = bucket_reach(cfg)
+    delta_join = "is_new" in files.columns
+    gates = (["fk"] if cfg.folder_mode != "none" else []) + (["size", "dev", "inode"] if cfg.exclude_hard_links else [])
+    base = files.withColumn("bk", duration_bucket("duration_s", cfg))
+    if cfg.folder_mode != "none":
+        base = base.withColumn("fk", folder_key("folder", cfg))
+    columns = ["file_id", "duration_s", "bk", *gates, *(["is_new"] if delta_join else [])]
+    cell = (lambda shift: F.floor((F.col("bk") + shift) / F.lit(CELL_BUCKETS)).cast("bigint")) if reach else (lambda shift: F.col("bk"))
+
+    def keyed(words: str, shifts: list[int]) -> DataFrame:
+        rows = base.select(*columns, F.col(words).alias("words"),
+                           F.explode(F.array_distinct(F.array(*[cell(s) for s in shifts]))).alias("cell"))
+        return rows.select("*", F.posexplode(hash_band_keys("words", samples, cfg)).alias("k", "key"))
+
+    # unmirrored, the file in the lower bucket probes; mirrored, the order of the two files matters and both probe
+    left = keyed("phash_flip" if mirrored else "phash", [0])
+    right = keyed("phash", [-1, 0, 1] if mirrored else [-1, 0])
+    l, r = left.alias("l"), right.alias("r")
+    same = ["key", "k", "cell"] + (["fk"] if cfg.folder_mode == "same" else [])
+    met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in same]
+    lower = F.col("l.file_id") < F.col("r.file_id")
+    once = (F.col("l.file_id") != F.col("r.file_id") if mirrored else
+            (F.col("l.bk") < F.col("r.bk")) | (F.col("l.bk") == F.col("r.bk")) & lower if reach else lower)
+    parts = [(l, r)] if not delta_join else [(left.where("is_new").alias("l"), r), (left.where("not is_new").alias("l"), right.where("is_new").alias("r"))]
+    bits, quorum = allowed_bits(cfg.percent), required_matches(samples, cfg.quorum_ratio)
+    dist = [F.bit_count(F.col("l.words")[p].bitwiseXOR(F.col("r.words")[p])) for p in range(samples)]
+    hits = sum((F.when(d <= bits, 1).otherwise(0) for d in dist), F.lit(0))
+    shared = F.zip_with(hash_band_keys("l.words", samples, cfg), hash_band_keys("r.words", samples, cfg), lambda x, y: x == y)
+
+    def judged(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.join(b, met).where(once & within_tolerance("l.duration_s", "r.duration_s", cfg) & (hits >= quorum))
+        pairs = pairs.where(not_same_file("l", "r", cfg))
+        if cfg.folder_mode == "different":
+            pairs = pairs.where(F.col("l.fk") != F.col("r.fk"))
+        pairs = pairs.where(F.array_position(shared, True) == F.col("l.k") + 1)
+        return pairs.select(F.col("l.file_id").alias("x"), F.col("r.file_id").alias("y"), hits.alias("matches"),
+                            (sum(dist, F.lit(0)) / F.lit(64.0 * samples)).cast("float").alias("diff"))
+
+    found = judged(*parts[0])
+    for more in parts[1:]:
+        found = found.unionByName(judged(*more))
+    names = files.select("file_id", "path")
+    px, py = names.select(F.col("file_id").alias("x"), F.col("path").alias("px")), names.select(F.col("file_id").alias("y"), F.col("path").alias("py"))
+    found = found.join(px, "x").join(py, "y")
+    first = F.struct(F.col("px").alias("p"), F.col("x").alias("i")) < F.struct(F.col("py").alias("p"), F.col("y").alias("i"))
+    if mirrored:
+        return found.where(first).select(F.col("x").alias("a"), F.col("y").alias("b"), "diff", "matches")
+    return found.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"),
+                        "diff", "matches")

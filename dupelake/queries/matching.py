@@ -143,6 +143,44 @@ def embedding_pairs(spark, sf):
     return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.round(F.lit(1.0) - F.col("diff").cast("double"), 5).alias("similarity"))
 
 
+def _shared_hash(spark: bool) -> str:
+    """One hash per label and sixteenth of the vectors, with one bit that differs between its files."""
+    bit = "shiftleft(CAST(1 AS BIGINT), CAST(vec_id % 60 AS INT))" if spark else "(CAST(1 AS BIGINT) << CAST(vec_id % 60 AS INT))"
+    base = _h("label * 100 + vec_id % 16", spark)
+    return f"({base} ^ {bit})" if spark else f"xor({base}, {bit})"
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT *, {_shared_hash(False)} AS ph FROM {_E}),
+ p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_SAD} / 262144.0 AS gray, bit_count(xor(a.ph, b.ph)) AS bits FROM e a JOIN e b ON a.vec_id < b.vec_id
+  AND abs(a.label - b.label) <= least(100.0 + a.label, 100.0 + b.label) * 0.02)
+SELECT a, b, round(CASE WHEN gray <= 0.145 AND bits <= 9 THEN least(gray, bits / 64.0) WHEN gray <= 0.145 THEN gray ELSE bits / 64.0 END, 5) AS diff,
+ CAST(CASE WHEN gray <= 0.145 THEN 8 ELSE 0 END + CASE WHEN bits <= 9 THEN 16 ELSE 0 END AS INT) AS flags FROM p WHERE gray <= 0.145 OR bits <= 9""")
+def combined_pairs(spark, sf):
+    """Videos that match by their frames, by their hashes or by both."""
+    cfg = ScanConfig(percent=85.5, combine=True, sample_count=1, duration_percent=2.0)
+    media, frames = vector_media(spark, sf, False)
+    hashes = table(spark, sf, "embeddings").selectExpr("vec_id AS file_id", f"{_shared_hash(True)} AS phash")
+    frames = frames.drop("phash").join(hashes, "file_id")
+    reps, _ = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg), cfg)
+    return SC.matching_pairs(cut_lineage(reps), cfg).select("a", "b", F.round(F.col("diff").cast("double"), 5).alias("diff"),
+                                                            F.col("flags").cast("int").alias("flags"))
+
+
+@query(f"""WITH h AS MATERIALIZED (SELECT *, xor(p1, 1) AS f0, xor(p0, 2) AS f1, p2 AS f2 FROM {_HSQL}),
+ p AS (SELECT a.file_id AS a, b.file_id AS b, bit_count(xor(a.f0, b.p0)) d0, bit_count(xor(a.f1, b.p1)) d1, bit_count(xor(a.f2, b.p2)) d2
+ FROM h a JOIN h b ON a.file_id < b.file_id AND {_tol(20.0)} AND bit_count(xor(a.f2, b.p2)) <= 2)
+SELECT a, b, CAST((d0 <= 2)::INT + (d1 <= 2)::INT + 1 AS INT) AS matches, round((d0 + d1 + d2) / 192.0, 5) AS diff FROM p
+ WHERE d0 <= 2 OR d1 <= 2
+UNION ALL
+SELECT a.file_id, b.file_id, 2, round((bit_count(xor(a.f0, b.p0)) + bit_count(xor(a.f1, b.p1)) + bit_count(xor(a.f2, b.p2))) / 192.0, 5)
+ FROM h a JOIN h b ON a.file_id < b.file_id AND {_tol(20.0)} AND bit_count(xor(a.f0, b.p0)) <= 2 AND bit_count(xor(a.f1, b.p1)) <= 2 AND bit_count(xor(a.f2, b.p2)) > 2""")
+def flipped_hash_pairs(spark, sf):
+    """Mirrored hashes of the first file against the hashes of the second."""
+    cfg = ScanConfig(use_phash=True, sample_count=3)
+    files = _hashes(spark, sf).withColumn("phash_flip", F.expr("array(p1 ^ 1, p0 ^ 2, p2)"))
+    return C.hash_pairs(cut_lineage(files), cfg, 3, mirrored=True).select("a", "b", "matches", F.round(F.col("diff").cast("double"), 5).alias("diff"))
+
+
 def duplicate_groups_from_frames(spark, sf):
     cfg = ScanConfig(percent=86.0, flip=True)
     media, frames = vector_media(spark, sf, True)

@@ -59,21 +59,60 @@ def _corpus(spark):
     return m, f.withColumn("phash", phash("gray"))
 
 
-@pytest.mark.parametrize("cfg", [dict(), dict(use_phash=True, percent=92.0), dict(combine=True, flip=True, percent=92.0)])
+@pytest.mark.parametrize("cfg", [dict(), dict(use_phash=True, percent=92.0), dict(combine=True, flip=True, percent=92.0),
+                                 dict(combine=True, percent=90.0, folder_mode="different"), dict(use_phash=True, flip=True, percent=92.0),
+                                 dict(use_phash=True, flip=True, percent=88.0, quorum_ratio=0.5, duration_percent=2.0),
+                                 dict(use_phash=True, flip=True, percent=94.0, duration_percent=0.0, folder_mode="same")])
 def test_matching_pairs_equal_brute_force(spark, cfg):
     cfg = ScanConfig(sample_count=2, block_rows=16, **cfg)
     media, frames = _corpus(spark)
+    media = media.withColumn("folder", P.folder_of("path"))
     reps, members = SC.collapse_copies(SC.compare_snapshot(media, frames, cfg), cfg)
     reps = skew.cut_lineage(reps)
     assert members.count() == media.count() and reps.count() < media.count()
-    got = {(r.a, r.b) for r in SC.matching_pairs(reps, cfg).collect()}
-    p = reps.toPandas().sort_values(["path", "file_id"]).reset_index(drop=True)
+    rows = SC.matching_pairs(reps, cfg).collect()
+    got = {(r.a, r.b): (round(r.diff, 5), r.flags, r.plain) for r in rows}
+    assert len(got) == len(rows)
+    p = reps.withColumn("fk", C.folder_key("folder", cfg)).toPandas().sort_values(["path", "file_id"]).reset_index(drop=True)
     block = FeatureBlock(p)
     i, j = np.triu_indices(len(p), 1)
-    d = p["duration_s"].to_numpy()
-    ok = np.abs(d[i] - d[j]) <= np.minimum(d[i], d[j]) * 0.2
-    m = full_verdict(block, block, i[ok], j[ok], cfg)[0]
-    assert got == set(zip(block.ids[i[ok][m]], block.ids[j[ok][m]]))
+    d, fk = p["duration_s"].to_numpy(), p["fk"].to_numpy(object)
+    ok = np.abs(d[i] - d[j]) <= np.minimum(d[i], d[j]) * cfg.duration_percent / 100
+    if cfg.folder_mode != "none":
+        ok &= (fk[i] == fk[j]) == (cfg.folder_mode == "same")
+    i, j = i[ok], j[ok]
+    m, diff, flags, plain = full_verdict(block, block, i, j, cfg)
+    want = {(a, b): (round(float(x), 5), int(f), bool(q)) for a, b, x, f, q in zip(block.ids[i[m]], block.ids[j[m]], diff[m], flags[m], plain[m])}
+    assert got == want and (cfg.folder_mode == "same" or want)
+
+
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_hash_pairs_of_new_files_and_hot_keys(spark, mirrored):
+    """A third of the files shares one hash; with ``is_new`` only pairs of two known files are missing."""
+    cfg = ScanConfig(sample_count=3, use_phash=True, percent=95.0, duration_percent=5.0)
+    rng = np.random.default_rng(3)
+    n = 120
+    words = rng.integers(-2**62, 2**62, (n, 3))
+    words[: n // 3] = words[0]
+    words[60:90] = words[30:60] ^ (np.int64(1) << rng.integers(0, 60, (30, 3)))
+    turned = words[::-1] if mirrored else words
+    d = rng.uniform(50, 90, n)
+    pdf = pd.DataFrame({"file_id": rng.permutation(n), "path": [f"/p{k:03d}" for k in rng.permutation(n)], "folder": "/p", "duration_s": d,
+                        "phash": list(words), "phash_flip": list(turned), "is_new": rng.random(n) < 0.3})
+    files = spark.createDataFrame(pdf)
+    bits, need = C.allowed_bits(95.0), C.required_matches(3, cfg.quorum_ratio)
+    want, fresh = {}, set()
+    for x in range(n):
+        for y in range(n):
+            if pdf.path[x] < pdf.path[y] and abs(d[x] - d[y]) <= 0.05 * min(d[x], d[y]):
+                k = int((np.bitwise_count(turned[x] ^ words[y]) <= bits).sum())
+                if k >= need:
+                    want[int(pdf.file_id[x]), int(pdf.file_id[y])] = k
+                    fresh |= {(int(pdf.file_id[x]), int(pdf.file_id[y]))} if pdf.is_new[x] or pdf.is_new[y] else set()
+    for part, expected in ((files.drop("is_new"), set(want)), (files, fresh)):
+        rows = C.hash_pairs(part, cfg, 3, mirrored).collect()
+        assert len(rows) == len(expected) > 0 and {(r.a, r.b) for r in rows} == expected
+        assert all(want[r.a, r.b] == r.matches for r in rows)
 
 
 def test_chain_is_split_and_flipped_pair_survives(spark):
