@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import ScanConfig
 from ..functions import vectors as V
 from ..functions.kernels import is_dark, phash
+from ..functions.registry import register_functions
 from ..operators import candidates as C, diagnostics, features as FE, grouping as G, scoring as SC
 from ..plans.skew import cut_lineage
 from . import query
@@ -166,18 +167,15 @@ def combined_pairs(spark, sf):
                                                             F.col("flags").cast("int").alias("flags"))
 
 
-@query(f"""WITH h AS MATERIALIZED (SELECT *, xor(p1, 1) AS f0, xor(p0, 2) AS f1, p2 AS f2 FROM {_HSQL}),
+@query(f"""WITH h AS MATERIALIZED (SELECT *, p0 AS f0, CASE WHEN file_id % 2 = 0 THEN xor(p1, 2) ELSE p1 END AS f1, xor(p2, -1) AS f2 FROM {_HSQL}),
  p AS (SELECT a.file_id AS a, b.file_id AS b, bit_count(xor(a.f0, b.p0)) d0, bit_count(xor(a.f1, b.p1)) d1, bit_count(xor(a.f2, b.p2)) d2
- FROM h a JOIN h b ON a.file_id < b.file_id AND {_tol(20.0)} AND bit_count(xor(a.f2, b.p2)) <= 2)
-SELECT a, b, CAST((d0 <= 2)::INT + (d1 <= 2)::INT + 1 AS INT) AS matches, round((d0 + d1 + d2) / 192.0, 5) AS diff FROM p
- WHERE d0 <= 2 OR d1 <= 2
-UNION ALL
-SELECT a.file_id, b.file_id, 2, round((bit_count(xor(a.f0, b.p0)) + bit_count(xor(a.f1, b.p1)) + bit_count(xor(a.f2, b.p2))) / 192.0, 5)
- FROM h a JOIN h b ON a.file_id < b.file_id AND {_tol(20.0)} AND bit_count(xor(a.f0, b.p0)) <= 2 AND bit_count(xor(a.f1, b.p1)) <= 2 AND bit_count(xor(a.f2, b.p2)) > 2""")
+ FROM h a JOIN h b ON a.file_id < b.file_id AND {_tol(20.0)} AND bit_count(xor(a.f0, b.p0)) <= 2)
+SELECT a, b, CAST((d0 <= 2)::INT + (d1 <= 2)::INT + (d2 <= 2)::INT AS INT) AS matches, round((d0 + d1 + d2) / 192.0, 5) AS diff FROM p
+ WHERE d1 <= 2 OR d2 <= 2""")
 def flipped_hash_pairs(spark, sf):
-    """Mirrored hashes of the first file against the hashes of the second."""
+    """Mirrored hashes of the first file against the hashes of the second; the last position never matches mirrored."""
     cfg = ScanConfig(use_phash=True, sample_count=3)
-    files = _hashes(spark, sf).withColumn("phash_flip", F.expr("array(p1 ^ 1, p0 ^ 2, p2)"))
+    files = _hashes(spark, sf).withColumn("phash_flip", F.expr("array(p0, CASE WHEN file_id % 2 = 0 THEN p1 ^ 2 ELSE p1 END, ~p2)"))
     return C.hash_pairs(cut_lineage(files), cfg, 3, mirrored=True).select("a", "b", "matches", F.round(F.col("diff").cast("double"), 5).alias("diff"))
 
 
@@ -266,6 +264,20 @@ def detail_scores(spark, sf):
     return FE.detail_scores(frames).select("file_id", F.round("detail", 5).alias("detail"))
 
 
+@query(f"""SELECT a.vec_id, round(CASE WHEN s > 0 THEN s / 1984.0 ELSE 0 END, 5) AS detail, dark, CAST(bit_count(xor({_shared_hash(False)}, CAST(label AS BIGINT))) AS INT) AS distance,
+ round(list_sum(list_transform(range(1, 65), lambda i: v[i] * v[65 - i])) / 16129.0, 6) AS folded FROM (SELECT *,
+ list_sum(list_transform(range(1, 65, 2), lambda i: abs(q[i] - q[i + 1]))) + 16 * list_sum(list_transform(range(1, 63), lambda i: abs(q[i] - q[i + 2]))) AS s,
+ list_sum(list_transform(q, lambda x: CASE WHEN x <= 32 THEN 1 ELSE 0 END)) >= 0.8 * 64 AS dark FROM {_E}) a""")
+def functions_in_sql(spark, sf):
+    """The registered functions, called from SQL text."""
+    register_functions(spark)
+    _, frames = vector_media(spark, sf, True)
+    e = embeddings(spark, sf).selectExpr("vec_id", f"{_shared_hash(True)} AS ph", "CAST(label AS BIGINT) AS label", "embedding")
+    return spark.sql("""WITH t AS (SELECT e.*, f.gray, quantize_unit(embedding) AS v FROM {e} e JOIN {f} f ON f.file_id = e.vec_id)
+SELECT vec_id, round(frame_detail(frame_mirror(gray)), 5) AS detail, frame_is_dark(gray) AS dark, hash_distance(ph, label) AS distance,
+ round(int8_similarity(v, reverse(v)), 6) AS folded FROM t""", e=e, f=frames)
+
+
 @query(f"SELECT vec_id AS file_id, list_sum(list_transform(q, lambda x: CASE WHEN x <= 32 THEN 1 ELSE 0 END)) >= 0.8 * 64 AS too_dark FROM {_E}")
 def dark_files(spark, sf):
     _, frames = vector_media(spark, sf, True)

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths as P
 from ..operators.eligibility import in_excluded_directory
-from ..operators.features import content_keys
+from ..operators.features import ranged_content_keys
 
 
 def read_listing(spark: SparkSession, paths: Sequence[str], recursive: bool = True, images: bool = True,
                  excluded: Sequence[str] = (), with_content_key: bool = False) -> DataFrame:
     """(path, folder, size, modified, is_image[, content_key]) of the media files below the paths.
 
-    File contents are only read when content keys are asked for.
+    Contents are only read for content keys, and then 64 KiB at each end of a file. Empty files do
+    not appear: Spark's file scan leaves them out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     raw = reader.load(list(paths))
@@ -24,12 +25,12 @@ def read_listing(spark: SparkSession, paths: Sequence[str], recursive: bool = Tr
     rows = raw.where(keep)
     if excluded:
         rows = rows.where(~in_excluded_directory(P.folder_of(clean), excluded))
-    out = rows.select(clean.alias("path"), P.folder_of(clean).alias("folder"), F.col("length").alias("size"),
-                      F.col("modificationTime").alias("modified"), P.is_image_path("path").alias("is_image"))
+    out = rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     if with_content_key:
-        keys = content_keys(rows).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content_key")
-        out = out.join(keys, "path")
-    return out
+        keys = ranged_content_keys(out).select(F.col("path").alias("__path"), "content_key")
+        out = out.join(keys, F.col("path") == F.col("__path"))
+    return out.select(clean.alias("path"), P.folder_of(clean).alias("folder"), "size", "modified", P.is_image_path("path").alias("is_image"),
+                      *(["content_key"] if with_content_key else []))
 
 
 def count_folder_trees(listing: DataFrame, roots: DataFrame) -> DataFrame:

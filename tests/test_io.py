@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from dupelake.config import ScanConfig, scan_profile
@@ -90,3 +91,48 @@ def test_embedding_job_and_profile(spark):
     out = FE.embed_frames(frames, lambda: lambda batch: np.array([list(b) for b in batch], float))
     assert [list(r.vec) for r in out.orderBy("pos").collect()] == [[76, 102], [0, 127]]
     assert scan_profile("deep_clean").use_ai and K.parse_keywords("a，B;\n b") == ["a", "B"]
+
+
+def test_content_keys_read_both_ends_only(spark, tmp_path):
+    """A sparse file of 3 GiB has a key; equal ends of another size have another; small files have none."""
+    from dupelake.operators.features import KEY_BYTES, content_keys, head_and_tail, word_sum
+    from dupelake.sources.listing import read_listing
+    rng = np.random.default_rng(1)
+    ends = rng.integers(0, 256, 2 * KEY_BYTES).astype(np.uint8).tobytes()
+    big = tmp_path / "a b" / "big.mkv"
+    big.parent.mkdir()
+    with big.open("wb") as f:
+        f.write(ends[:KEY_BYTES])
+        f.seek(3 * 2**30 - KEY_BYTES)
+        f.write(ends[KEY_BYTES:])
+    (tmp_path / "same%20ends.mp4").write_bytes(ends)
+    (tmp_path / "one.mp4").write_bytes(ends[:KEY_BYTES])
+    (tmp_path / "small.mp4").write_bytes(ends[:KEY_BYTES - 1])
+    (tmp_path / "empty.mp4").write_bytes(b"")
+    rows = {r.path.rpartition("/")[2]: r for r in read_listing(spark, [str(tmp_path)], with_content_key=True).collect()}
+    head, tail = ends[:KEY_BYTES], ends[KEY_BYTES:]
+    assert rows["big.mkv"].size == 3 * 2**30 and rows["big.mkv"].content_key == word_sum(3 * 2**30, head, tail)
+    assert rows["same%20ends.mp4"].content_key == word_sum(2 * KEY_BYTES, head, tail)
+    assert rows["one.mp4"].content_key == word_sum(KEY_BYTES, head, head)
+    assert rows["small.mp4"].content_key is None and len(rows) == 4  # file scans leave empty files out
+    whole = content_keys(spark.read.format("binaryFile").load(str(tmp_path / "*.mp4"))).collect()
+    assert {r.content_key for r in whole} == {rows[n].content_key for n in rows if n != "big.mkv"}
+
+    class Counted:
+        asked = 0
+
+        def read_at(self, n, at):
+            self.asked += n
+            return b"x" * n
+
+    file = Counted()
+    head_and_tail(file, 3 * 2**30)
+    assert file.asked == 2 * KEY_BYTES
+
+
+def test_functions_in_sql(spark):
+    from dupelake.functions.registry import register_functions
+    assert "frame_phash" in register_functions(spark)
+    r = spark.sql("""SELECT hash_distance(5, 6) d, hash_similarity(1, NULL) n, int8_similarity(quantize_unit(array(1D, 0D)), quantize_unit(array(1D, 0D))) s,
+        frame_phash(NULL) p, frame_is_dark(unhex(repeat('00', 1024))) k, frame_mirror(unhex('01020304')) m""").first()
+    assert (r.d, r.n, r.s, r.p, r.k, bytes(r.m)) == (2, None, 1.0, None, True, bytes([2, 1, 4, 3]))
