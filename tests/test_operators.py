@@ -227,3 +227,10 @@ def test_short_tracks_keep_an_empty_fingerprint(spark):
     assert {r.file_id: len(r.words) > 0 for r in words.collect()} == {1: False, 2: True}
     media = spark.createDataFrame([(1, 0), (2, 0)], "file_id long, flags int")
     assert {r.file_id: r.flags for r in fingerprint_status(media, words).collect()} == {1: 32, 2: 128}
+
+
+def test_preview_of_an_empty_plan_confirms_no_bytes(spark):
+    plan = spark.createDataFrame([], "set_id string, group_id string, path string, size bigint, action string, reason string, move boolean")
+    unique = spark.createDataFrame([], "state string, size bigint")
+    r = FO.consolidation_preview(plan, unique).first()
+    assert (r["reclaim_user_bytes"], r["matched_files"], r["groups"], r["reclaim_bytes"]) == (0, 0, 0, None)
