@@ -234,3 +234,18 @@ def test_preview_of_an_empty_plan_confirms_no_bytes(spark):
     unique = spark.createDataFrame([], "state string, size bigint")
     r = FO.consolidation_preview(plan, unique).first()
     assert (r["reclaim_user_bytes"], r["matched_files"], r["groups"], r["reclaim_bytes"]) == (0, 0, 0, None)
+
+
+def test_folder_matches_from_summaries_and_row_by_row(spark, monkeypatch):
+    it = _items(spark).withColumn("path", F.concat(F.lit("/f"), F.substring("path", -1, 1), F.lit("/x"), F.substring("path", 4, 4)))
+    it = skew.cut_lineage(it.unionByName(it.where("path like '/f3/%'")))  # some rows come twice
+    run = lambda: sorted(tuple(str(v) for v in r) for r in FO.folder_pair_matches(it).select(
+        "folder_a", "folder_b", "group_id", "files_a", "files_b", "review_only", "auto_review", "winner").collect())
+    n = {(r.group_id, r.f): r.n for r in it.groupBy("group_id", P.folder_of("path").alias("f")).agg(F.count("*").alias("n")).collect()}
+    rows = run()
+    assert any(r[-1] != "None" for r in rows)
+    assert all((int(r[3]), int(r[4])) == (n[r[2], r[0]], n[r[2], r[1]]) for r in rows)
+    monkeypatch.setattr(FO, "PAIR_GROUP", 10)
+    assert run() == rows
+    exchanges = FO._matches_of_summaries(it, None, "group_id")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges == 2  # one for each side, of items; no pair is shuffled
