@@ -249,3 +249,15 @@ def test_folder_matches_from_summaries_and_row_by_row(spark, monkeypatch):
     assert run() == rows
     exchanges = FO._matches_of_summaries(it, None, "group_id")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert exchanges == 2  # one for each side, of items; no pair is shuffled
+
+
+@pytest.mark.parametrize("cfg", [dict(percent=96.0), dict(percent=90.0), dict(percent=96.0, quorum_ratio=0.1)])
+def test_first_shared_key_is_the_first_equal_band_key(spark, cfg):
+    cfg = ScanConfig(use_phash=True, sample_count=3, **cfg)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2**63, 2**63 - 1, (300, 3))
+    y = np.where(rng.random((300, 3)) < 0.3, rng.integers(-2**63, 2**63 - 1, (300, 3)), x ^ (1 << rng.integers(0, 63, (300, 3))) ^ (1 << rng.integers(0, 63, (300, 3))))
+    df = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "y": y.tolist()}), "x array<bigint>, y array<bigint>")
+    same = F.zip_with(C.hash_band_keys("x", 3, cfg), C.hash_band_keys("y", 3, cfg), lambda a, b: a == b)
+    rows = df.select(F.array_position(same, True).alias("want"), C.first_shared_key("x", "y", 3, cfg).alias("got")).collect()
+    assert [r.want or None for r in rows] == [None if r.got is None else r.got + 1 for r in rows] and any(r.want for r in rows)
