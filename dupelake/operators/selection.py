@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths as P
-from ..plans.skew import attach_group, descending, first_per_group
-from .ranking import EQUALITY, Criterion, leading_cluster, pick_keeper, recommend_best, resolve_criteria
+from ..plans.skew import GroupPasses, attach_group, by_heat, descending, first_per_group
+from .ranking import (EQUALITY, Criterion, _with_ratios, best_of_group, keeper_step, leading_cluster, pick_keeper,
+                      resolve_criteria)
 
 
 def keep_first(items: DataFrame, order: Sequence[Column], group: str = "group_id", key: str = "path") -> DataFrame:
@@ -266,18 +267,29 @@ def rule_assistant(items: DataFrame, rules: Sequence[Rule], rules_only: bool = F
     active = [r for r in rules if r.enabled and (r.kind not in _KEYWORD_RULES or parse_keywords(r.value))]
     if not active:
         return items.limit(0).withColumn("action", F.lit(None).cast("string")).withColumn("tie_break", F.lit(False))
-    df = attach_group(items, group, __n=F.count("*")).where("__n > 1").drop("__n")
-    if any(r.kind == "non_best" for r in active):
-        best = recommend_best(df, best_criteria, group).select(group, F.col("winner").alias("__w"))
-        df = df.join(best, group).withColumn("__is_best", F.col("path") == F.col("__w")).drop("__w")
-    df = df.withColumn("__loss", F.array(*[_loss(r) for r in active]))
-    me = F.struct("__loss", F.lower("path").alias("__l"), F.col("path").alias("__p"))
-    j = attach_group(df.withColumn("__me", me), group, __keep=F.min("__me"))
-    tie = F.col("__loss") == F.col("__keep.__loss")
-    act = F.when(F.col("__me") == F.col("__keep"), "keep")
-    act = act.when(tie, "untouched").otherwise("remove") if rules_only else act.otherwise("remove")
-    return (j.withColumn("action", act).withColumn("tie_break", tie & (F.col("action") == "remove"))
-            .drop("__loss", "__me", "__keep", "__is_best"))
+    non_best = any(r.kind == "non_best" for r in active)
+    kept = items.columns
+
+    def step(rows: DataFrame, passes: GroupPasses) -> DataFrame:
+        df = passes.add(rows if passes.hot else rows.repartition(group), __size=F.count("*")).where("__size > 1")
+        if non_best and best_criteria is not None:
+            df = keeper_step(df.withColumn("__lower", F.lower("path")), passes, resolve_criteria(best_criteria, best=True), ("__lower", "path"))
+            df = df.withColumnRenamed("is_keeper", "__is_best")
+        df = df.withColumn("__loss", F.array(*[_loss(r) for r in active]))
+        me = F.struct("__loss", F.lower("path").alias("__l"), F.col("path").alias("__p"))
+        j = passes.add(df.withColumn("__me", me), __keep=F.min("__me"))
+        tie = F.col("__loss") == F.col("__keep.__loss")
+        act = F.when(F.col("__me") == F.col("__keep"), "keep")
+        act = act.when(tie, "untouched").otherwise("remove") if rules_only else act.otherwise("remove")
+        return j.withColumn("action", act).withColumn("tie_break", tie & (F.col("action") == "remove")).select(*kept, "action", "tie_break")
+
+    df = items
+    if non_best:
+        df = _with_ratios(df.where(F.col(group).isNotNull()))
+        if best_criteria is None:
+            best = best_of_group(df, None, group).select(group, F.col("winner").alias("__w"))
+            df = df.join(best, group).withColumn("__is_best", F.col("path") == F.col("__w")).drop("__w")
+    return by_heat(df, group, step)
 
 
 def rule_assistant_summary(plan: DataFrame, group: str = "group_id") -> DataFrame:
@@ -293,17 +305,27 @@ def rule_assistant_summary(plan: DataFrame, group: str = "group_id") -> DataFram
 def smart_non_best(items: DataFrame, file_keywords: str = "", path_keywords: str = "", group: str = "group_id",
                    best_criteria: Sequence[str] | None = None) -> DataFrame:
     """Mark the items that are not the recommended best and match both keyword lists (an empty list matches all)."""
-    best = recommend_best(items, best_criteria, group).select(group, F.col("winner").alias("__w"))
-    sized = items.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1").select(group)
     folder = F.when(F.trim(F.coalesce("folder", F.lit(""))) != "", F.col("folder")).otherwise(P.folder_of("path"))
     fk, pk = parse_keywords(file_keywords), parse_keywords(path_keywords)
-    cond = F.col("path") != F.col("__w")
+    cond = F.lit(True)
     if fk:
         cond = cond & _contains_any(P.file_name("path"), fk)
     if pk:
         cond = cond & _contains_any(folder, pk)
-    return items.join(sized, group, "left_semi").join(best, group).where(cond).drop("__w").withColumn(
-        "action", F.lit("remove"))
+    kept = items.columns
+    df = _with_ratios(items.where(F.col(group).isNotNull()))
+    if best_criteria is None:
+        best = best_of_group(df, None, group).select(group, F.col("winner").alias("__w"))
+        rest = df.join(best, group).where(F.col("path") != F.col("__w"))  # a group of one has no other item
+    else:
+        steps = resolve_criteria(best_criteria, best=True)
+
+        def step(rows: DataFrame, passes: GroupPasses) -> DataFrame:
+            rows = (rows if passes.hot else rows.repartition(group)).withColumn("__lower", F.lower("path"))
+            return keeper_step(rows, passes, steps, ("__lower", "path"))
+
+        rest = by_heat(df, group, step).where("not is_keeper")
+    return rest.where(cond).select(*kept).withColumn("action", F.lit("remove"))
 
 
 def apply_plan(items: DataFrame, plan: DataFrame, preserve: bool = False, key: str = "path") -> DataFrame:

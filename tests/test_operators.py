@@ -261,3 +261,49 @@ def test_first_shared_key_is_the_first_equal_band_key(spark, cfg):
     same = F.zip_with(C.hash_band_keys("x", 3, cfg), C.hash_band_keys("y", 3, cfg), lambda a, b: a == b)
     rows = df.select(F.array_position(same, True).alias("want"), C.first_shared_key("x", "y", 3, cfg).alias("got")).collect()
     assert [r.want or None for r in rows] == [None if r.got is None else r.got + 1 for r in rows] and any(r.want for r in rows)
+
+
+def _shuffles(df) -> int:
+    """Exchanges of the rows by group: those of the plan as it was run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_keepers_by_number_equal_keepers_by_path(spark):
+    """A window pass carries numbers for the items, a hot pass their order columns; both choose alike, also with null kinds."""
+    it = _items(spark).withColumn("is_image", F.expr("CASE WHEN substr(path, -1) = '3' THEN NULL WHEN substr(path, -1) = '7' THEN true ELSE false END"))
+    it = skew.cut_lineage(it.withColumn("duration_s", F.expr("100.0 + crc32(path) % 4")))
+    crit = R.resolve_criteria(["Bitrate"])
+    run = lambda hot: {(r.path, r.is_keeper, r.decided_by) for r in R.keeper_step(
+        R._with_ratios(it), skew.GroupPasses("group_id", hot), crit).collect()}
+    assert run(False) == run(True)
+
+
+def test_recommendation_deals_the_items_once(spark):
+    from dupelake.operators import selection as K
+
+    it = skew.cut_lineage(_items(spark))
+    assert _shuffles(R.likely_winner(it)) == 1
+    assert _shuffles(R.recommend_best(it)) == 1
+    assert _shuffles(R.recommend_best(it, ["Resolution"])) == 1
+    assert _shuffles(K.smart_non_best(it.withColumn("folder", F.lit("/p")), best_criteria=[])) == 1
+
+
+def test_wide_and_hot_groups_get_the_same_recommendation(spark, monkeypatch):
+    from dupelake.operators import selection as K
+
+    it = skew.cut_lineage(_items(spark).withColumn("folder", F.lit("/p")).withColumn("created", F.lit(0)))
+    rules = [K.Rule("non_best"), K.Rule("lower_bitrate")]
+    run = lambda: (
+        {tuple(r) for r in R.recommend_best(it).collect()}, {tuple(r) for r in R.recommend_best(it, ["Bitrate"]).collect()},
+        {tuple(r) for r in R.likely_winner(it).collect()}, {r.path for r in K.smart_non_best(it, best_criteria=[]).collect()},
+        {(r.path, r.action, r.tie_break) for r in K.rule_assistant(it, rules, True, best_criteria=[]).collect()},
+        {(r.path, r.action, r.tie_break) for r in K.rule_assistant(it, rules).collect()})
+    normal = run()
+    monkeypatch.setattr(R, "_ARRAY_GROUP", 8)
+    spark.conf.set(skew.HOT_ROWS_CONF, "9")
+    try:
+        assert run() == normal
+    finally:
+        spark.conf.unset(skew.HOT_ROWS_CONF)
