@@ -307,3 +307,24 @@ def test_wide_and_hot_groups_get_the_same_recommendation(spark, monkeypatch):
         assert run() == normal
     finally:
         spark.conf.unset(skew.HOT_ROWS_CONF)
+
+
+def test_components_by_contraction(spark):
+    """Long chains in shuffled order, a star, doubled and turned edges, self loops and nulls against union by hand."""
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(400)
+    pairs = [(int(ids[i]), int(ids[i + 1])) for i in range(0, 150)] + [(int(ids[200]), int(ids[k])) for k in range(201, 240)]
+    pairs += [(b, a) for a, b in pairs[:20]] + pairs[:5] + [(int(ids[300]), int(ids[300])), (int(ids[301]), None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        if y is not None and x != y:
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+    got = {r.node: r.component for r in G.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+    assert G.connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
