@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import DENSE_MAX_SLOTS, EntryFlag, ScanConfig
@@ -101,6 +102,26 @@ def chroma_energies(pcm: np.ndarray) -> np.ndarray:
     return np.stack([power[:, classes == c].sum(axis=1) for c in range(12)], axis=1)
 
 
+#: Frames transformed at once: a frame takes about 150 KB of scratch, a whole Arrow batch of them 1.5 GB.
+FRAMES_AT_ONCE = 256
+
+
+def frame_energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, frame, c0 .. c11) of (file_id, frame, samples) rows, some frames at a time."""
+    for batch in batches:
+        found = []
+        for start in range(0, batch.num_rows, FRAMES_AT_ONCE):
+            samples = batch.column("samples").slice(start, FRAMES_AT_ONCE)
+            if (samples.value_lengths().to_numpy(zero_copy_only=False) != AUDIO_FRAME).any():
+                raise ValueError("a track with missing chunks")
+            pcm = samples.flatten().to_numpy(zero_copy_only=False).reshape(-1, AUDIO_FRAME)
+            found.append(chroma_energies(pcm * (1.0 / 32768.0)))
+        if found:
+            values = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("frame"), *[pa.array(values[:, i]) for i in range(12)]],
+                                             names=["file_id", "frame", *[f"c{i}" for i in range(12)]])
+
+
 def audio_frames(pcm: DataFrame) -> DataFrame:
     """Overlapping analysis frames from PCM chunks (file_id, chunk, samples array<smallint>) of equal length.
 
@@ -126,16 +147,7 @@ def audio_fingerprint(pcm: DataFrame) -> DataFrame:
     """(file_id, words): one 32-bit word per second, by per-bit majority over the second's frames."""
     chroma_schema = "file_id bigint, frame bigint, " + ", ".join(f"c{i} double" for i in range(12))
 
-    def energies(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(s, np.float64) for s in pdf["samples"]]) * (1.0 / 32768.0)
-                out = pd.DataFrame(chroma_energies(x), columns=[f"c{i}" for i in range(12)])
-                out.insert(0, "frame", pdf["frame"].to_numpy())
-                out.insert(0, "file_id", pdf["file_id"].to_numpy())
-                yield out
-
-    chroma = audio_frames(pcm).mapInPandas(energies, chroma_schema)
+    chroma = audio_frames(pcm).mapInArrow(frame_energies, chroma_schema)
     # five-tap smoothing: every frame is sent to the five outputs it contributes to (oldest weight first)
     taps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(FIR_WEIGHTS)]))
     spread = chroma.withColumn("t", taps).withColumn("out", F.col("frame") + 4 - F.col("t.k"))
