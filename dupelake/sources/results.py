@@ -9,7 +9,7 @@ from ..config import MatchFlag
 from ..functions.formats import bytes_text, clip_offset_text, clock_text, csv_escape, fixed_text, flag_names
 from ..functions.media import has_flag
 from ..operators.relocate import hide_not_a_match
-from ..plans.skew import rank_all, rank_within
+from ..plans.skew import cut_lineage, rank_all, rank_within
 
 #: Items per JSON row; a group with more spreads over several rows that readers put back together.
 GROUP_PART = 10_000
@@ -56,14 +56,15 @@ def results_csv_wide(items: DataFrame, checked: bool = True, group: str = "group
 
 def results_text(items: DataFrame, group: str = "group_id") -> DataFrame:
     """Report lines in order: (ord, sub, line). Items carry the best flags."""
-    counts = items.groupBy(group).agg(F.count("*").alias("n"))
+    counts = cut_lineage(items.groupBy(group).agg(F.count("*").alias("n")))
+    largest = counts.agg(F.max("n")).first()[0] or 0
     numbered = rank_all(counts, [F.col(group)], "no")
-    head = items.agg(F.count("*").alias("f"), F.count_distinct(group).alias("g")).select(
+    head = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("f"), F.count(group).alias("g")).select(
         F.lit(0).cast("bigint").alias("no"), F.lit(0).cast("bigint").alias("sub"),
         F.format_string("Found %d duplicate group(s), %d total file(s).\n", "g", "f").alias("line"))
     titles = numbered.select("no", F.lit(0).cast("bigint").alias("sub"),
                              F.format_string("Group %d (%d files):", "no", "n").alias("line"))
-    ranked = rank_within(items, group, [F.col("similarity").desc(), F.col("path")], "__rk").join(
+    ranked = rank_within(items, group, [F.col("similarity").desc(), F.col("path")], "__rk", largest).join(
         numbered.select(group, "no"), group)
     best = F.when(F.col("best_kbps") | F.col("best_frame_size"), " [best]").otherwise("")
     off = clip_offset_text("flags", "clip_offset_s")

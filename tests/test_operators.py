@@ -328,3 +328,33 @@ def test_components_by_contraction(spark):
     got = {r.node: r.component for r in G.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {x: root(x) for x in list(parent)}
     assert G.connected_components(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_frame_energies_need_little_memory():
+    """1 500 frames in one batch: as many scratch bytes as for a few, and the same values."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pcm = np.random.default_rng(2).integers(-20000, 20000, (1500, FE.AUDIO_FRAME)).astype(np.int16)
+    samples = pa.ListArray.from_arrays(pa.array(np.arange(1501) * FE.AUDIO_FRAME, pa.int32()), pa.array(pcm.reshape(-1)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(1500, np.int64)), pa.array(np.arange(1500)), samples], names=["file_id", "frame", "samples"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(FE.frame_energies(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000  # 148 MB with the whole batch at once, growing with it
+    got = np.stack([out[f"c{i}"].to_numpy() for i in range(12)], axis=1)
+    assert np.array_equal(got, FE.chroma_energies(pcm * (1.0 / 32768.0)))
+
+
+def test_best_flags_deal_the_items_once(spark):
+    it = skew.cut_lineage(_items(spark))
+    out = R.best_flags(it).select("path", *R.BEST_COLUMNS)
+    assert _shuffles(out) == 1
+    normal = {tuple(r) for r in out.collect()}
+    spark.conf.set(skew.HOT_ROWS_CONF, "9")
+    try:
+        assert {tuple(r) for r in R.best_flags(it).select("path", *R.BEST_COLUMNS).collect()} == normal
+    finally:
+        spark.conf.unset(skew.HOT_ROWS_CONF)
