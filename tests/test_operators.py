@@ -358,3 +358,22 @@ def test_best_flags_deal_the_items_once(spark):
         assert {tuple(r) for r in R.best_flags(it).select("path", *R.BEST_COLUMNS).collect()} == normal
     finally:
         spark.conf.unset(skew.HOT_ROWS_CONF)
+
+
+def test_dense_clips_of_a_block_equal_pairs_alone(spark):
+    """Sources and clips that meet in one product give what each pair gives alone; a row without usable slots gives nothing."""
+    from dupelake.operators import partial as PA
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 64))
+    base = np.rint(base / np.linalg.norm(base, axis=1, keepdims=True) * 127).astype(int)
+    cut = {1: (30, 0), 2: (12, 5), 3: (9, 14), 4: (25, 2), 5: (6, 0)}
+    media = spark.createDataFrame([(f, f"/x{f}", False, 10.0 * n) for f, (n, _) in cut.items()], "file_id long, folder string, is_image boolean, duration_s double")
+    rows = [(f, k, 5.0, [int(v) for v in base[at + k]] if f != 5 and (f, k) != (2, 3) else None) for f, (n, at) in cut.items() for k in range(n)]
+    dense = skew.cut_lineage(spark.createDataFrame(rows, "file_id long, slot int, interval_s float, vec array<tinyint>"))
+    cfg = ScanConfig(ai_partial_hit_percent=25.0)
+    run = lambda m: {tuple(r) for r in PA.dense_clip_matches(m, dense, cfg).collect()}
+    whole = run(media)
+    assert {(r[0], r[1], r[3]) for r in whole} >= {(1, 2, 25), (1, 3, 70), (1, 4, 10)}
+    alone = set().union(*[run(media.where(F.col("file_id").isin(a, b))) for a, b in ((1, 2), (1, 3), (1, 4), (1, 5), (4, 2), (4, 3), (4, 5), (2, 3), (2, 5), (3, 5))])
+    assert whole == alone
