@@ -70,3 +70,21 @@ def test_rows_are_sent_to_few_blocks(spark):
     rows = spark.range(3000).select("id", F.lit(1).alias("cell"))
     blocks = lambda n, size: cell_sizes(rows.limit(n), size, growth=GROWTH).first()["blocks"]
     assert blocks(3000, 10) == 38 and blocks(1000, 10) == ENOUGH_BLOCKS and blocks(50, 10) == 5
+
+
+@pytest.mark.parametrize("change", [dict(percent=85.0, flip=True), dict(percent=85.0)])
+def test_large_components_of_images_settle_in_claim_rounds(spark, change, monkeypatch):
+    """Copies, mirrored matches and all: the same groups as the replay in one task, without the round per member."""
+    from dupelake.operators import grouping as G
+    from dupelake.queries.streams import vectors_with_copies
+
+    def never(*_):
+        raise AssertionError("images without gates need no merge rounds")
+
+    monkeypatch.setattr(G, "_merge_rounds", never)
+    cfg = ScanConfig(**change)
+    few = vectors_with_copies(spark, "/root/testdata/sf0.001", cfg).where("file_id % 1000000 < 150")
+    reps, members = (G.cut_lineage(d) for d in SC.collapse_copies(few, cfg))
+    pairs = G.cut_lineage(SC.matching_pairs(reps, cfg))
+    replayed, claimed = ({tuple(r) for r in G.merge_pairs(reps, members, pairs, cfg.with_(replay_limit=n)).collect()} for n in (10**6, 2))
+    assert claimed == replayed and len(claimed) > 60
