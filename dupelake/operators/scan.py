@@ -14,7 +14,7 @@ from ..config import MatchFlag, ScanConfig
 from ..plans.skew import cut_lineage
 from .eligibility import compare_eligible, scan_eligibility
 from .grouping import emit_clips, find_duplicates
-from .partial import audio_clip_matches, bind_clips, dense_partial, needed_samples, visual_gate
+from .partial import audio_bindings, dense_partial, needed_samples, visual_gate
 from .ranking import CRITERIA, best_flags, pick_keeper, review_only
 from .scoring import compare_snapshot
 
@@ -48,7 +48,7 @@ def scan_phases(media: DataFrame, frames: DataFrame, cfg: ScanConfig, embeddings
                                        "flags", "clip_offset_s"))
 
     if cfg.partial_clips and audio is not None:
-        bound = cut_lineage(bind_clips(audio_clip_matches(media, audio, cfg, grouped), media))
+        bound = cut_lineage(audio_bindings(media, audio, cfg, grouped))
         if cfg.partial_require_visual and fetch_frames is not None:
             bound = visual_gate(bound, media, fetch_frames(frame_requests(bound, media)), cfg)
         found = clips(emit_clips(bound, MatchFlag.PARTIAL_CLIP), "audio")

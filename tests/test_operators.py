@@ -377,3 +377,43 @@ def test_dense_clips_of_a_block_equal_pairs_alone(spark):
     assert {(r[0], r[1], r[3]) for r in whole} >= {(1, 2, 25), (1, 3, 70), (1, 4, 10)}
     alone = set().union(*[run(media.where(F.col("file_id").isin(a, b))) for a, b in ((1, 2), (1, 3), (1, 4), (1, 5), (4, 2), (4, 3), (4, 5), (2, 3), (2, 5), (3, 5))])
     assert whole == alone
+
+
+@pytest.mark.parametrize("mode", ["none", "same", "different"])
+def test_audio_bindings_equal_bound_matches_of_single_pairs(spark, mode):
+    from dupelake.functions.kernels import sliding_best
+    from dupelake.operators import partial as PA
+    rng = np.random.default_rng(3)
+    words = [rng.integers(1, 2**32, 12) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        n = int(rng.integers(2, 13))
+        w = np.where(rng.random(n) < 0.5, words[i % 6][:n], rng.integers(1, 2**32, n)) if i < 90 else np.array(rows[i - 60][4], np.int64) % 2**32
+        rows.append((i, "/f" + str(i // 6 % 2), f"p{(i * 7) % 100}", float(10 * len(w)), [int(x) - 2**32 if x >= 2**31 else int(x) for x in w]))
+    media = spark.createDataFrame([(*r[:4], False, 0) for r in rows], "file_id long, folder string, path string, duration_s double, is_image boolean, flags int")
+    audio = spark.createDataFrame([(r[0], r[4]) for r in rows], "file_id long, words array<int>")
+    cfg = ScanConfig(partial_similarity=0.7, folder_mode=mode)
+    unsigned = [np.array(r[4], np.int64).astype(np.uint32) for r in rows]
+    want = set()
+    for s in rows:
+        for c in rows:
+            gate = mode == "none" or (s[1] == c[1]) == (mode == "same")
+            if len(c[4]) < len(s[4]) and cfg.partial_min_ratio <= c[3] / s[3] < 0.95 and gate:
+                sim, at = sliding_best(unsigned[c[0]], unsigned[s[0]], 0.7)
+                if sim >= np.float32(0.7):
+                    want.add((s[0], c[0], float(sim), int(at)))
+    found = PA.audio_clip_matches(media, audio, cfg)
+    assert {tuple(r) for r in found.select("source_id", "clip_id", F.col("sim").cast("double"), "offset_s").collect()} == want and want
+    names = ["source_id", "clip_id", "sim", "offset_s", "group_id"]
+    bound = {tuple(r) for r in PA.bind_clips(found, media).select(*names).collect()}
+    assert {tuple(r) for r in PA.audio_bindings(media, audio, cfg).select(*names).collect()} == bound
+    met = PA._audio_meetings(PA._audio_classes(media, audio, cfg, None)[0], cfg, True).groupBy("clip_id").count().agg(F.max("count")).first()[0]
+    assert met <= 5  # one source a clip and meeting, and no more meetings than octaves linked
+
+
+def test_light_recordings_share_large_blocks(spark):
+    from dupelake.operators import partial as PA
+    rows = spark.createDataFrame([(i, 50.0, "/c", [1] * 5) for i in range(640)], "file_id long, duration_s double, folder string, words array<int>")
+    met = lambda **more: len(PA._ratio_meetings(rows, ScanConfig(), ["words"], 64, **more).collect())
+    assert met(weight=F.size("words"), block_weight=PA.BLOCK_WORDS) == 2 * 640  # one block: each row once as source and once as clip
+    assert met() == 2 * 640 * 10
