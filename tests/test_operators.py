@@ -417,3 +417,11 @@ def test_light_recordings_share_large_blocks(spark):
     met = lambda **more: len(PA._ratio_meetings(rows, ScanConfig(), ["words"], 64, **more).collect())
     assert met(weight=F.size("words"), block_weight=PA.BLOCK_WORDS) == 2 * 640  # one block: each row once as source and once as clip
     assert met() == 2 * 640 * 10
+
+
+def test_normal_paths_skip_the_pattern(spark):
+    odd = ["/a/b", "/a/b/", "/", "//", "", " /a ", "a\\b\\", "/a/\n", "/a//\r\n", "/a/ ", "/a\n", "\\", "/a/ ", "/a/\u0085", None, "/ä/ß"]
+    plain = lambda c: F.regexp_replace(F.translate(F.trim(F.coalesce(c, F.lit(""))), "\\", "/"), "(?<=.)/+$", "")
+    df = spark.createDataFrame([(p,) for p in odd], "path string").select("path", P.normalize_path("path").alias("new"), plain(F.col("path")).alias("old"))
+    assert [r.new for r in df.collect()] == [r.old for r in df.collect()]
+    assert "CASE WHEN" in df.select("new")._jdf.queryExecution().optimizedPlan().toString()
