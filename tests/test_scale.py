@@ -88,3 +88,22 @@ def test_large_components_of_images_settle_in_claim_rounds(spark, change, monkey
     pairs = G.cut_lineage(SC.matching_pairs(reps, cfg))
     replayed, claimed = ({tuple(r) for r in G.merge_pairs(reps, members, pairs, cfg.with_(replay_limit=n)).collect()} for n in (10**6, 2))
     assert claimed == replayed and len(claimed) > 60
+
+
+def test_one_pass_claims_like_the_rounds(spark, monkeypatch):
+    """Components of images go through one pass per component; the rounds beyond ``SCAN_PAIRS`` give the same groups."""
+    from dupelake.operators import grouping as G
+    from dupelake.queries.streams import vectors_with_copies
+
+    cfg = ScanConfig(percent=85.5, flip=True, replay_limit=2)
+    few = vectors_with_copies(spark, "/root/testdata/sf0.001", cfg).where("file_id % 1000000 < 120")
+    reps, members = (G.cut_lineage(d) for d in SC.collapse_copies(few, cfg))
+    pairs = G.cut_lineage(SC.matching_pairs(reps, cfg))
+    stored = []
+    monkeypatch.setattr(G, "store", lambda df, real=G.store: stored.append(1) or real(df))
+    found = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(G, "SCAN_PAIRS", most, raising=False)
+        found.append(({tuple(r) for r in G.merge_pairs(reps, members, pairs, cfg).collect()}, len(stored)))
+    assert found[0][0] == found[1][0] and len(found[0][0]) > 40
+    assert found[0][1] == 1 and found[1][1] > 10   # no round is stored
